@@ -2,12 +2,19 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, packing, token_counts
+from . import exact_dedup, packing, sharding, simhash, token_counts, topk
 
 QUERIES = {
+    "op2_sharding": sharding.op2_sharding,
     "op4_exact_dedup": exact_dedup.op4_exact_dedup,
     "op6_packing": packing.op6_packing,
+    "op7_simhash": simhash.op7_simhash,
     "op9_token_counts": token_counts.op9_token_counts,
+    "op10_topk": topk.op10_topk,
 }
 
-ORACLES = {"op4_exact_dedup": exact_dedup.ORACLE}
+ORACLES = {
+    "op2_sharding": sharding.ORACLE,
+    "op4_exact_dedup": exact_dedup.ORACLE,
+    "op10_topk": topk.ORACLE,
+}

@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, packing, sharding, simhash, token_counts, topk
+from . import exact_dedup, langid, packing, sharding, simhash, token_counts, topk, toxicity
 
 QUERIES = {
     "op2_sharding": sharding.op2_sharding,
     "op4_exact_dedup": exact_dedup.op4_exact_dedup,
+    "op5_toxicity": toxicity.op5_toxicity,
     "op6_packing": packing.op6_packing,
     "op7_simhash": simhash.op7_simhash,
+    "op8_langid": langid.op8_langid,
     "op9_token_counts": token_counts.op9_token_counts,
     "op10_topk": topk.op10_topk,
 }

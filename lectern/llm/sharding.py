@@ -85,10 +85,10 @@ ORACLE = f"""
 WITH crc AS (
   SELECT list_transform(range(256), lambda i: list_reduce(range(8), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, i)) AS t),
 b AS (
-  SELECT doc_id, strlen(coalesce(text, '')) + 16 AS size, hex(encode(coalesce(text, ''))) AS x, md5(coalesce(doc_id::VARCHAR, '')) AS m FROM documents),
+  SELECT doc_id, strlen(coalesce(text, '')) + 16 AS size, list_transform(regexp_extract_all(hex(encode(coalesce(text, ''))), '..'), lambda h: ('0x' || h)::BIGINT) AS x, md5(coalesce(doc_id::VARCHAR, '')) AS m FROM documents),
 k AS (
   SELECT doc_id, size,
-         xor(list_reduce(range(0, length(x), 2), lambda c, i: xor(c >> 8, t[(xor(c & 255, ('0x' || x[i + 1:i + 2])::BIGINT)) + 1]), 4294967295), 4294967295)::BIGINT AS text_crc32,
+         xor(list_reduce(x, lambda c, v: xor(c >> 8, t[xor(c & 255, v) + 1]), 4294967295), 4294967295)::BIGINT AS text_crc32,
          ('0x' || m[1:8])::HUGEINT * 4294967296 + ('0x' || m[9:16])::HUGEINT AS key FROM b, crc),
 w AS (
   SELECT doc_id, size, text_crc32, key,

@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from .common import bounded
 
 #: Labelled rows that a fit may use: beyond it a sample by a hash of doc_id.
-TRAIN_ROWS = 12_000
+TRAIN_ROWS = 6_000
 #: Hash buckets of terms; features the machine keeps; its factors.
 BUCKETS, FEATURES, FACTORS = 1 << 18, 1024, 8
 #: A term in a text at least so many times is a feature of its own.
@@ -63,31 +63,33 @@ class Machine:
         return self.score(features(text))
 
 
-def fit(rows: list[tuple[list[int], int]]) -> Machine:
-    """Fits the machine to (features, label) rows.
+def fit(found: list[np.ndarray], y: np.ndarray) -> Machine:
+    """Fits the machine to the features and labels of rows.
 
     The features with the largest chi-square against the label are kept. Adam, mini-batches in a fixed random order,
     the two classes weighted towards each other. Rows of one class only, or none, give a machine that answers their
-    share of label 1 (0 without rows).
+    share of label 1 (0 without rows). Memory: one count per hashed feature, and rows times kept features.
     """
-    y = np.array([label for _, label in rows], float)
-    positive = y.sum()
+    positive, every = float(y.sum()), BUCKETS * len(TIMES)
     if not 0 < positive < len(y):
         share = np.clip(positive / max(1, len(y)), 1e-6, 1 - 1e-6)
         return Machine(np.empty(0, int), float(np.log(share / (1 - share))), np.zeros(0), np.zeros((0, FACTORS)))
-    sizes = np.array([len(f) for f, _ in rows])
-    flat = np.concatenate([np.asarray(f, np.int64) for f, _ in rows])
-    n = np.bincount(flat, minlength=BUCKETS * len(TIMES)).astype(float)
-    n1 = np.bincount(flat, weights=np.repeat(y, sizes), minlength=BUCKETS * len(TIMES))
-    expected = n * positive / len(y)
-    chi = np.where(n >= 5, (n1 - expected) ** 2 / np.maximum(expected * (1 - positive / len(y)) * (1 - n / (len(y) + 1)), 1e-9), 0)
+    n, n1 = np.zeros(every, np.int32), np.zeros(every, np.int32)
+    for row, label in zip(found, y, strict=True):  # each feature occurs once in a row
+        n[row] += 1
+        if label:
+            n1[row] += 1
+    expected = n * (positive / len(y))
+    chi = (n1 - expected) ** 2 / np.maximum(expected * (1 - positive / len(y)) * (1 - n / (len(y) + 1)), 1e-9)
+    chi[n < 5] = 0
     selected = np.sort(np.argsort(-chi, kind="stable")[:FEATURES])
     selected = selected[chi[selected] > 0]
-    place = np.full(BUCKETS * len(TIMES), -1, np.int32)
+    place = np.full(every, -1, np.int32)
     place[selected] = np.arange(len(selected))
-    x = np.zeros((len(rows), len(selected)), np.float32)
-    row, at = np.repeat(np.arange(len(rows)), sizes), place[flat]
-    x[row[at >= 0], at[at >= 0]] = 1
+    x = np.zeros((len(found), len(selected)), np.float32)
+    for i, row in enumerate(found):
+        at = place[row]
+        x[i, at[at >= 0]] = 1
 
     rng = np.random.default_rng(SEED)
     params = [np.float64(np.log(positive / (len(y) - positive))), np.zeros(len(selected)), rng.normal(0, 0.02, (len(selected), FACTORS))]
@@ -138,7 +140,7 @@ def train(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS) -> M
 
     rows = docs.join(known, F.col("doc_id") == F.col("_labelled")).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("_toxic").alias("toxic"), F.col("text").cast("string").alias("text"))
     table = rows.mapInArrow(run, "doc_id long, toxic int, found array<int>").toArrow().sort_by([("doc_id", "ascending"), ("toxic", "ascending")])
-    return fit([(f.values.to_numpy(), t.as_py()) for f, t in zip(table["found"], table["toxic"], strict=True)])
+    return fit([f.values.to_numpy() for f in table["found"]], table["toxic"].to_numpy().astype(float))
 
 
 def score(docs: DataFrame, machine: Machine) -> DataFrame:

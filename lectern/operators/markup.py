@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, WindowSpec, functions as F
 
 from ..functions import text as tx
 
 #: Tags without an end. Fixed values.
 VOID = ("area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr")
 
-PAGE = Window.partitionBy("page_id").orderBy("pos").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+
+def _so_far() -> WindowSpec:
+    return Window.partitionBy("page_id").orderBy("pos").rowsBetween(Window.unboundedPreceding, Window.currentRow)
 
 
 def tokens(pages: DataFrame) -> DataFrame:
@@ -28,12 +30,12 @@ def _step() -> Column:
 def last_opened(tokens: DataFrame) -> DataFrame:
     """Adds opened: the tag that was opened last, filled forward; '' before the first."""
     event = F.when(_step() == 1, _name())
-    return tokens.withColumn("opened", F.coalesce(F.last(event, ignorenulls=True).over(PAGE), F.lit("")))
+    return tokens.withColumn("opened", F.coalesce(F.last(event, ignorenulls=True).over(_so_far()), F.lit("")))
 
 
 def depth(tokens: DataFrame) -> DataFrame:
     """Adds depth: tags open after each token."""
-    return tokens.withColumn("depth", F.sum(_step()).over(PAGE).cast("long"))
+    return tokens.withColumn("depth", F.sum(_step()).over(_so_far()).cast("long"))
 
 
 def page_text(pages: DataFrame) -> DataFrame:

@@ -299,7 +299,7 @@ def layout_pca(spark, sf):
 
 @query()
 def links_lsh(spark, sf):
-    return lk.near_lsh(table(spark, sf, "embeddings").select(F.col("vec_id").alias("id"), "embedding"), 0.9)
+    return lk.near_lsh(table(spark, sf, "embeddings").select(F.col("vec_id").alias("id"), "embedding"), 1.2)
 
 
 def _sample(spark: SparkSession) -> DataFrame:

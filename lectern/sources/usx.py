@@ -7,7 +7,7 @@ file, which bounds the windows.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, WindowSpec, functions as F
 
 from ..functions import text as tx
 
@@ -16,9 +16,13 @@ HEADINGS = ("s1", "s2", "r", "h", "toc1", "toc2", "toc3", "mt", "mt1", "mt2", "u
 #: Character styles may nest so deep.
 DEPTH = 4
 
-BOOK = Window.partitionBy("version", "book").orderBy("pos")
-SO_FAR = BOOK.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-FROM_HERE = BOOK.rowsBetween(Window.currentRow, Window.unboundedFollowing)
+
+def _so_far() -> WindowSpec:
+    return Window.partitionBy("version", "book").orderBy("pos").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+
+
+def _from_here() -> WindowSpec:
+    return Window.partitionBy("version", "book").orderBy("pos").rowsBetween(Window.currentRow, Window.unboundedFollowing)
 
 
 def read_files(spark: SparkSession, root: str) -> DataFrame:
@@ -35,7 +39,7 @@ def tokenise(files: DataFrame) -> DataFrame:
 
 def _filled(event: Column) -> Column:
     """The last event so far, '' before the first."""
-    return F.coalesce(F.last(event, ignorenulls=True).over(SO_FAR), F.lit(""))
+    return F.coalesce(F.last(event, ignorenulls=True).over(_so_far()), F.lit(""))
 
 
 def annotate(tokens: DataFrame) -> DataFrame:
@@ -58,11 +62,11 @@ def annotate(tokens: DataFrame) -> DataFrame:
             "ref": _filled(milestone("verse")),
             "chapter_ref": _filled(milestone("chapter")),
             "para_style": _filled(F.when(opens("para"), F.col("style")).when(shuts("para"), F.lit(""))),
-            "para_no": F.sum(F.when((tag == "para") & ~F.col("shut"), 1).otherwise(0)).over(SO_FAR),
-            "section_no": F.sum(F.when(opens("para") & (F.col("style") == "s1"), 1).otherwise(0)).over(SO_FAR),
-            "note_no": F.sum(F.when(opens("note"), 1).otherwise(0)).over(SO_FAR),
-            "note_depth": F.sum(step("note")).over(SO_FAR),
-            "char_depth": F.sum(step("char")).over(SO_FAR),
+            "para_no": F.sum(F.when((tag == "para") & ~F.col("shut"), 1).otherwise(0)).over(_so_far()),
+            "section_no": F.sum(F.when(opens("para") & (F.col("style") == "s1"), 1).otherwise(0)).over(_so_far()),
+            "note_no": F.sum(F.when(opens("note"), 1).otherwise(0)).over(_so_far()),
+            "note_depth": F.sum(step("note")).over(_so_far()),
+            "char_depth": F.sum(step("char")).over(_so_far()),
         }
     )
     at = F.col("char_depth")
@@ -82,7 +86,7 @@ def _verse_text(tokens: DataFrame) -> DataFrame:
 
 def verses(tokens: DataFrame) -> DataFrame:
     """version, book, book_no, chapter, verse, ref, text, text_raw, n_paras of annotated tokens."""
-    inked = F.when(F.trim(F.col("tok")) != "", F.col("para_no"))
+    inked = F.when(tx.collapse(F.col("tok")) != "", F.col("para_no"))
     grouped = _verse_text(tokens).groupBy("version", "book", "ref").agg(_joined().alias("run"), F.count_distinct(inked).cast("int").alias("n_paras"))
     raw = tx.collapse(tx.unescape(F.col("run")))
     ref = tx.reference(F.col("ref"))
@@ -92,7 +96,9 @@ def verses(tokens: DataFrame) -> DataFrame:
 def passages(tokens: DataFrame, grain: str = "verse") -> DataFrame:
     """version, book, grain, passage, first_ref, text: verse text rolled up to verses, paragraphs, sections or chapters."""
     key = {"verse": F.col("ref"), "paragraph": F.col("para_no").cast("string"), "section": F.col("section_no").cast("string"), "chapter": F.col("chapter_ref")}[grain]
-    grouped = _verse_text(tokens).withColumn("passage", key).groupBy("version", "book", "passage").agg(F.min_by("ref", "pos").alias("first_ref"), _joined().alias("run"))
+    verse = F.lag("ref").over(Window.partitionBy("version", "book").orderBy("pos"))
+    runs = _verse_text(tokens).withColumn("tok", F.when(F.col("ref") == verse, F.col("tok")).otherwise(F.concat(F.lit(" "), F.col("tok"))))
+    grouped = runs.withColumn("passage", key).groupBy("version", "book", "passage").agg(F.min_by("ref", "pos").alias("first_ref"), _joined().alias("run"))
     found = grouped.select("version", "book", F.lit(grain).alias("grain"), "passage", "first_ref", tx.clean(tx.unescape(F.col("run"))).alias("text"))
     return found.where("text != ''")
 
@@ -114,7 +120,7 @@ def notes(tokens: DataFrame) -> DataFrame:
 def headings(tokens: DataFrame) -> DataFrame:
     """version, book, pos, style, text, next_ref: section headings and the verse that follows (null at a book's end)."""
     start = F.nullif(tx.attribute(F.col("tok"), "sid"), F.lit(""))
-    ahead = tokens.withColumn("next_ref", F.first(F.when(F.col("tag") == "verse", start), ignorenulls=True).over(FROM_HERE))
+    ahead = tokens.withColumn("next_ref", F.first(F.when(F.col("tag") == "verse", start), ignorenulls=True).over(_from_here()))
     rows = ahead.where(F.col("para_style").isin("s1", "s2") & F.col("is_text") & (F.col("note_depth") == 0))
     grouped = rows.groupBy("version", "book", "para_no").agg(F.min("pos").alias("pos"), F.first("para_style").alias("style"), _joined().alias("run"), F.min_by("next_ref", "pos").alias("next_ref"))
     return grouped.select("version", "book", "pos", "style", tx.collapse(tx.unescape(F.col("run"))).alias("text"), "next_ref")
@@ -123,7 +129,7 @@ def headings(tokens: DataFrame) -> DataFrame:
 def crossrefs(tokens: DataFrame) -> DataFrame:
     """version, book, pos, loc, from_ref, t_book, c1, v1, c2, v2: parallel references and the verse that they stand before."""
     start = F.nullif(tx.attribute(F.col("tok"), "sid"), F.lit(""))
-    ahead = tokens.withColumn("from_ref", F.first(F.when(F.col("tag") == "verse", start), ignorenulls=True).over(FROM_HERE))
+    ahead = tokens.withColumn("from_ref", F.first(F.when(F.col("tag") == "verse", start), ignorenulls=True).over(_from_here()))
     loc = tx.attribute(F.col("tok"), "loc")
     rows = ahead.where((F.col("tag") == "ref") & (loc != "")).select("version", "book", "pos", loc.alias("loc"), "from_ref")
     return rows.select("*", tx.target(F.col("loc")).alias("t")).select("version", "book", "pos", "loc", "from_ref", "t.*")

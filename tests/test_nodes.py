@@ -1,0 +1,139 @@
+"""Picking, lookup, JSON, the store, links and groups."""
+
+import json
+import math
+
+import pytest
+from pyspark.sql import functions as F
+
+from lectern.api import Lectern
+from lectern.functions import scalars as sc
+from lectern.operators import groups, links as lk, pick as pk
+from lectern.sources import nodes_json
+from lectern.sources.store import Store
+
+NAN = float("nan")
+
+
+def cloud(spark, rows):
+    full = [(i, float(x), float(y), float(z), n, "g", f"text of {n}") for i, (x, y, z, n) in enumerate(rows)]
+    return spark.createDataFrame(full, "ord long, x float, y float, z float, id string, group string, text string")
+
+
+def clicked(nodes, gx, gy, **kw):
+    return [r["id"] for r in pk.pick(nodes, (gx + 1) * 400, (1 - gy) * 300, **kw).collect()]
+
+
+@pytest.mark.parametrize(
+    ("rows", "at", "expected"),
+    [
+        ([(0, 0, 0, "a"), (1, 1, 0, "b")], (0.9, 0.8), ["b"]),
+        ([(-1, 0, 0, "a"), (1, 0, 0, "b")], (0, 0), ["a"]),
+        ([(0, 0, 9, "a"), (0.1, 0, 0, "b")], (0, 0), ["a"]),
+        ([], (0, 0), []),
+        ([(NAN, 0, 0, "a"), (1, 1, 0, "b")], (0, 0), ["b"]),
+        ([(NAN, 0, 0, "a")], (0, 0), []),
+        ([(math.inf, 0, 0, "a")], (0, 0), []),
+    ],
+)
+def test_pick(spark, rows, at, expected):
+    nodes = cloud(spark, rows)
+    assert clicked(nodes, *at) == expected
+    assert clicked(nodes, *at, single=True) == expected
+
+
+def test_pixels(spark):
+    df = spark.createDataFrame([(0.0, 0.0), (800.0, 600.0), (400.0, 300.0)], "x double, y double")
+    gx, gy = sc.to_clip(F.col("x"), F.col("y"))
+    assert [tuple(r) for r in df.select(gx, gy).collect()] == [(-1, 1), (1, -1), (0, 0)]
+
+
+def test_pick_many_and_topk(spark):
+    nodes = cloud(spark, [(0, 0, 0, "a"), (1, 1, 0, "b"), (-1, -1, 0, "c")])
+    clicks = spark.createDataFrame([(1, 400.0, 300.0), (2, 800.0, 0.0)], "click_id int, cx double, cy double")
+    assert {r["click_id"]: r["id"] for r in pk.pick_many(nodes, clicks).collect()} == {1: "a", 2: "b"}
+    assert [r["id"] for r in pk.pick_topk(nodes, 800, 0, 2).collect()] == ["b", "a"]
+
+
+def test_duplicate_ids_give_the_first(spark):
+    nodes = cloud(spark, [(0, 0, 0, "a"), (1, 1, 0, "a")]).withColumn("text", F.col("ord").cast("string"))
+    assert pk.details(nodes, "a").first()["text"] == "0"
+    assert pk.picked_details(pk.pick(nodes, 800, 0), nodes).first()["text"] == "0"
+    assert pk.details(nodes, "none").count() == 0
+
+
+def test_toggle():
+    assert pk.toggle(None, "a") == "a" and pk.toggle("a", "a") is None and pk.toggle("a", "b") == "b"
+
+
+def test_json(spark):
+    rows = [tuple(r) for r in nodes_json.load(spark, '[{"id":"a"},{"x":1.5,"y":2,"z":-1,"id":"b","group":"g"},{}]').collect()]
+    assert rows == [(0, 0.0, 0.0, 0.0, "a"), (1, 1.5, 2.0, -1.0, "b"), (2, 0.0, 0.0, 0.0, "")]
+    assert nodes_json.load(spark, "[]").count() == 0
+    with pytest.raises(ValueError):
+        nodes_json.load(spark, "[{bad")
+    dumped = nodes_json.dump(cloud(spark, [(0, 1, 2, "a"), (3, 4, 5, "b")]), per=1).orderBy("chunk").collect()
+    assert [json.loads(r["json"]) for r in dumped] == [[{"x": 0.0, "y": 1.0, "z": 2.0, "id": "a"}], [{"x": 3.0, "y": 4.0, "z": 5.0, "id": "b"}]]
+
+
+def test_store_replaces_whole_methods(spark, tmp_path):
+    store = Store(spark, str(tmp_path))
+    assert store.nodes("a").count() == 0 and store.nodes(None).count() == 0 and store.methods().count() == 0
+    assert store.replace("nodes", "a", cloud(spark, [(0, 0, 0, "p"), (1, 1, 1, "q")]))
+    assert store.replace("nodes", "b", cloud(spark, [(0, 0, 0, "r")]))
+    assert store.replace("nodes", "a", cloud(spark, [(2, 2, 2, "s")]))
+    assert [r["id"] for r in store.nodes("a").collect()] == ["s"]
+    assert [r["id"] for r in store.nodes("b").collect()] == ["r"]
+    assert not store.replace("nodes", "a", cloud(spark, []))
+    assert store.nodes("a").count() == 1
+    with pytest.raises(ValueError):
+        store.nodes("a' or 1")
+    plan = store.nodes("a")._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters" in plan and "method" in plan
+
+
+def test_facade(spark, tmp_path):
+    page = Lectern(spark, str(tmp_path))
+    assert {"topics", "words", "embeddings"} <= set(page.methods())
+    assert page.load_nodes("m", '[{"x":1,"y":1,"id":"a"},{"x":-1,"y":-1,"id":"b"}]')
+    assert not page.load_nodes("m", "oops") and not page.load_nodes("m", "[]")
+    assert page.get_data("m")[0].count() == 2 and page.get_data(None)[1].count() == 0
+    assert page.pick("m", 800, 0).first()["id"] == "a"
+    rows = [(i, [float(i % 3), float(i % 5), 1.0, float(i)], str(i % 2), f"text {i}") for i in range(12)]
+    page.build("embeddings", spark.createDataFrame(rows, "id long, embedding array<float>, group string, text string"))
+    nodes, links = page.get_data("embeddings")
+    assert nodes.count() == 12 and links.count() == 60
+    assert all(abs(r[c]) <= 1 for r in nodes.collect() for c in "xyz")
+    assert page.get_topics("embeddings").count() == 2
+
+
+def test_links(spark):
+    rows = [(i, [math.cos(i), math.sin(i)]) for i in range(40)]
+    nodes = spark.createDataFrame(rows, "id long, embedding array<double>")
+    found = {(r["src"], r["rank"]): (r["dst"], r["sim"]) for r in lk.topk_cosine(nodes, 3, block=16).collect()}
+    for i in range(40):
+        best = sorted((-round(math.cos(i - j), 6), j) for j in range(40) if j != i)[:3]
+        assert [found[i, r + 1] for r in range(3)] == [(j, -s) for s, j in best]
+    near = {(r["src"], r["dst"]) for r in lk.near_lsh(spark.createDataFrame([(i, [math.cos(i), math.sin(i)]) for i in range(60)], "id long, embedding array<double>"), 0.05, tables=8).collect()}
+    assert near and all(2 * abs(math.sin((a - b) / 2)) < 0.05 for a, b in near)
+    ends = spark.createDataFrame([("a", "g1"), ("b", "g2")], "id string, group string")
+    links = spark.createDataFrame([("a", "b"), ("a", "x"), ("y", "b")], "src string, dst string")
+    assert [tuple(r) for r in lk.resolve(links, ends).select("src", "dst", "src_group", "dst_group").collect()] == [("a", "b", "g1", "g2")]
+    assert {(r["src"], r["dst"], r["has_src"], r["has_dst"]) for r in lk.dangling(links, ends).collect()} == {("a", "x", True, False), ("y", "b", False, True)}
+
+
+def test_groups(spark):
+    nodes = cloud(spark, [(0, 0, 0, "a"), (1, 0, 0.5, "b")])
+    r = groups.centroids(nodes).first()
+    assert (r["n"], r["x"], r["z"]) == (2, 0.5, 0.25)
+
+
+@pytest.mark.parametrize("most", [None, 1, 2, 3, 4, 5, 6, 7, 50])
+def test_utf8(spark, most):
+    s = "aé€😀z"
+    got = bytes(spark.createDataFrame([(s,)], "s string").select(sc.utf8_bytes(F.col("s"), most)).first()[0])
+    whole = s.encode()
+    if most is not None:
+        whole = whole[: most - 1].decode(errors="ignore").encode()
+    assert got == whole + b"\0"
+    assert spark.createDataFrame([(bytearray(b"ab\0cd"),)], "b binary").select(sc.utf8_text(F.col("b"))).first()[0] == "ab"

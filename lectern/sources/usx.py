@@ -21,8 +21,10 @@ def _so_far() -> WindowSpec:
     return Window.partitionBy("version", "book").orderBy("pos").rowsBetween(Window.unboundedPreceding, Window.currentRow)
 
 
-def _from_here() -> WindowSpec:
-    return Window.partitionBy("version", "book").orderBy("pos").rowsBetween(Window.currentRow, Window.unboundedFollowing)
+def _next(event: Column) -> Column:
+    """The next event from here on. A running window over the reversed order: one that looks forward would read the
+    rest of the book for every row."""
+    return F.last(event, ignorenulls=True).over(Window.partitionBy("version", "book").orderBy(F.desc("pos")).rowsBetween(Window.unboundedPreceding, Window.currentRow))
 
 
 def read_files(spark: SparkSession, root: str) -> DataFrame:
@@ -47,7 +49,7 @@ def annotate(tokens: DataFrame) -> DataFrame:
     t = F.col("tok")
     name = F.regexp_extract(t, r"^</?([A-Za-z0-9]+)", 1)
     shut, empty = t.startswith("</"), t.endswith("/>")
-    rows = tokens.withColumns({"tag": name, "shut": shut, "empty": empty, "style": tx.attribute(t, "style")})
+    rows = tokens.withColumns({"tag": name, "shut": shut, "empty": empty, "style": F.when(t.startswith("<") & ~shut, tx.attribute(t, "style"))})
     tag = F.col("tag")
     opens = lambda x: (tag == x) & ~F.col("shut") & ~F.col("empty")
     shuts = lambda x: (tag == x) & F.col("shut")
@@ -120,7 +122,7 @@ def notes(tokens: DataFrame) -> DataFrame:
 def headings(tokens: DataFrame) -> DataFrame:
     """version, book, pos, style, text, next_ref: section headings and the verse that follows (null at a book's end)."""
     start = F.nullif(tx.attribute(F.col("tok"), "sid"), F.lit(""))
-    ahead = tokens.withColumn("next_ref", F.first(F.when(F.col("tag") == "verse", start), ignorenulls=True).over(_from_here()))
+    ahead = tokens.withColumn("next_ref", _next(F.when(F.col("tag") == "verse", start)))
     rows = ahead.where(F.col("para_style").isin("s1", "s2") & F.col("is_text") & (F.col("note_depth") == 0))
     grouped = rows.groupBy("version", "book", "para_no").agg(F.min("pos").alias("pos"), F.first("para_style").alias("style"), _joined().alias("run"), F.min_by("next_ref", "pos").alias("next_ref"))
     return grouped.select("version", "book", "pos", "style", tx.collapse(tx.unescape(F.col("run"))).alias("text"), "next_ref")
@@ -129,7 +131,7 @@ def headings(tokens: DataFrame) -> DataFrame:
 def crossrefs(tokens: DataFrame) -> DataFrame:
     """version, book, pos, loc, from_ref, t_book, c1, v1, c2, v2: parallel references and the verse that they stand before."""
     start = F.nullif(tx.attribute(F.col("tok"), "sid"), F.lit(""))
-    ahead = tokens.withColumn("from_ref", F.first(F.when(F.col("tag") == "verse", start), ignorenulls=True).over(_from_here()))
+    ahead = tokens.withColumn("from_ref", _next(F.when(F.col("tag") == "verse", start)))
     loc = tx.attribute(F.col("tok"), "loc")
     rows = ahead.where((F.col("tag") == "ref") & (loc != "")).select("version", "book", "pos", loc.alias("loc"), "from_ref")
     return rows.select("*", tx.target(F.col("loc")).alias("t")).select("version", "book", "pos", "loc", "from_ref", "t.*")

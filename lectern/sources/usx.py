@@ -36,7 +36,9 @@ def read_files(spark: SparkSession, root: str) -> DataFrame:
 def tokenise(files: DataFrame) -> DataFrame:
     """version, book, pos, tok."""
     plain = files.select("version", tx.plain_file(F.col("value")).alias("value"))
-    return plain.select("version", F.regexp_extract("value", r'<book\s[^>]*code="([^"]*)"', 1).alias("book"), F.posexplode(tx.tokens(F.col("value"))).alias("pos", "tok"))
+    # the code is taken from the file before the tokens multiply its rows
+    listed = plain.select("version", F.regexp_extract("value", r'<book\s[^>]*code="([^"]*)"', 1).alias("book"), tx.tokens(F.col("value")).alias("tokens"))
+    return listed.select("version", "book", F.posexplode("tokens").alias("pos", "tok"))
 
 
 def _filled(event: Column) -> Column:

@@ -20,7 +20,7 @@ def duplicate_groups(docs: DataFrame, digest_all: bool = False, prefix_chars: in
     Each step splits the groups of the step before, and only rows in groups of two or more go on:
     byte length -> hash of the first ``prefix_chars`` characters -> SHA-256 of the whole text. Without
     ``digest_all`` the whole text is hashed only for rows that survive the first two steps (the second scan is
-    joined with the surviving keys, by broadcast while they are few). With it the one scan hashes every text,
+    joined with the surviving keys, by broadcast while they are counted and few). With it the one scan hashes every text,
     since the caller reports all digests, and the survivors use those.
 
     Returns one row per input row: doc_id, keep_id, group_size, kept, text_sha256 (null for rows that were alone
@@ -55,9 +55,8 @@ def duplicate_groups(docs: DataFrame, digest_all: bool = False, prefix_chars: in
     if digest_all:
         rows = seen.select("doc_id", "text_sha256").join(groups, "text_sha256", "left")
     else:
-        grouped = survivors.join(groups, "text_sha256")
-        alone = seen.select("doc_id").join(grouped.select("doc_id"), "doc_id", "left_anti")
-        rows = grouped.unionByName(alone, allowMissingColumns=True)
+        alone = seen.join(heads, ["len", "head"], "left_anti").select("doc_id")
+        rows = survivors.join(groups, "text_sha256", "left").unionByName(alone, allowMissingColumns=True)
     keep = F.when(F.col("group_size").isNull(), F.col("doc_id")).otherwise(F.col("keep_id"))
     return rows.select(
         "doc_id",

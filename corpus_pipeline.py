@@ -20,7 +20,7 @@ def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near fingerprints stays."""
+    """One document stays of each group linked by five-word shingles of similarity 0.8 or more."""
     return simhash.drop_near_duplicates(docs)
 
 

@@ -87,14 +87,42 @@ def test_groups_equal_brute_force(spark):
         if i is not None and (least[root[f]] is None or i < least[root[f]]):
             least[root[f]] = i
     assert got == sorted((str(i), f, str(least[root[f]])) for (i, _), f in zip(rows, fps, strict=True))
-    left = simhash.drop_near_duplicates(table)
-    assert left.columns == table.columns
-    assert {r["doc_id"] for r in left.collect()} - {None} == {i for i in least.values() if i is not None}
     assert simhash.near_groups(table.where("false")).count() == 0
 
 
-TOXIC = ["you idiot people", "these idiot folk", "scum like those folk", "scum people there"]
-CLEAN = ["kind people here", "good folk there", "the idiot box was on", "pond scum is green", "nice words only", "people like folk"]
+def test_long_fingerprints_find_similar_texts(spark):
+    """Copies with a few words changed (similarity of 0.8 or more) are joined, other texts are left alone."""
+    rng = random.Random(11)
+    vocabulary = ["".join(rng.choices("abcdefghij", k=5)) for _ in range(4000)]
+    texts, near = {}, set()
+    for i in range(120):
+        words = rng.choices(vocabulary, k=rng.randint(80, 600))
+        texts[i * 10] = " ".join(words)
+        for c in range(1, 4):
+            edited = list(words)
+            for at in rng.sample(range(len(words)), max(1, len(words) // 80)):
+                edited[at] = rng.choice(vocabulary)
+            sets = [{tuple(w[j : j + 5]) for j in range(len(w) - 4)} for w in (words, edited)]
+            assert len(sets[0] & sets[1]) / len(sets[0] | sets[1]) > 0.8
+            texts[i * 10 + c] = " ".join(edited).upper()
+            near.add((i * 10, i * 10 + c))
+    rows = list(texts.items()) + [(5_000, None), (5_001, ""), (None, None), (5_002, "short one"), (5_003, "short two"), (0, texts[0])]
+    table = spark.createDataFrame([(i, t, "x") for i, t in rows], "doc_id long, text string, component_id string")
+    group = {r["doc_id"]: r["component_id"] for r in simhash.similar_groups(table).collect()}
+    assert all(group[i] // 10 == i // 10 for i in texts)
+    assert sum(group[a] == group[b] for a, b in near) / len(near) > 0.95
+    assert group[5_001] == group[5_000] == 5_000 and group[5_002] == 5_002 and group[5_003] == 5_003
+    fps = {i: simhash.long_fingerprint(t, 5) for i, t in texts.items()}
+    nodes = spark.createDataFrame(list(fps.items()), "node long, fp array<long>")
+    apart = lambda a, b: sum(((x ^ y) & (2**64 - 1)).bit_count() for x, y in zip(fps[a], fps[b], strict=True))
+    limit = simhash.distance_limit(0.8)
+    found = {tuple(r) for r in simhash.similar_pairs(nodes, limit).collect()}
+    close = {(a, b) for a, b in combinations(sorted(fps), 2) if apart(a, b) <= limit}
+    assert found <= close and len(found) > 0.9 * len(close)
+    left = simhash.drop_near_duplicates(table)
+    assert left.columns == table.columns
+    assert {r["doc_id"] for r in left.collect()} - {None} == set(group.values()) - {None}
+    assert simhash.similar_groups(table.where("false")).count() == 0
 
 
 def test_machine_learns_pairs():

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from .common import bounded, cut, text_or_empty
 
@@ -57,18 +57,28 @@ def rake(cells: DataFrame, dimensions: tuple[str, ...], targets: dict[str, dict[
     A cell's probability is the product of one factor per dimension value, and at most 1: a cell cannot give more
     tokens than it has. Each step scales the factors of one dimension so that the tokens expected under
     each value move to its goal; a round takes every dimension. What cells at their bound cannot give, later steps
-    ask of the others. The table has one row per cell and as many partitions as it needs; each round is one small job.
+    ask of the others. The table has one row per cell; while it has fewer than ``CELLS`` for a second part, a round runs
+    in one task without exchanges, beyond that as distributed sums and joins. Both do the same arithmetic.
     """
     targets = targets or {}
-    cells = cut(cells.coalesce(max(1, cells.count() // CELLS)))
+    cells = cut(cells)
+    parts = max(1, cells.count() // CELLS)
+    cells = cells.coalesce(parts)
     for d in dimensions:
         cells = cells.join(bounded(goals(cells, d, targets.get(d), power, rate)), d)
     cells = cut(cells.withColumn("_f", F.lit(1.0)))
-    for _ in range(rounds):
+    for i in range(rounds):
+        cells = cells.coalesce(parts)
         for d in dimensions:
-            mass = cells.groupBy(d).agg(F.sum(F.col("_tokens") * F.least("_f", F.lit(1.0))).alias("_mass"))
-            cells = cells.join(mass, d).withColumn("_f", F.when(F.col("_mass") > 0, F.col("_f") * F.col(f"_goal_{d}") / F.col("_mass")).otherwise(F.col("_f"))).drop("_mass")
-        cells = cut(cells)
+            step = F.when(F.col("_mass") > 0, F.col("_f") * F.col(f"_goal_{d}") / F.col("_mass")).otherwise(F.col("_f"))
+            mass = F.sum(F.col("_tokens") * F.least("_f", F.lit(1.0)))
+            if parts == 1:  # in one part a window needs neither an exchange nor a join
+                cells = cells.withColumn("_mass", mass.over(Window.partitionBy(d)))
+            else:  # partial sums per task, so one value may hold any share of the cells
+                cells = cells.join(cells.groupBy(d).agg(mass.alias("_mass")), d)
+            cells = cells.withColumn("_f", step).drop("_mass")
+        if parts > 1 or i % 4 == 3:
+            cells = cut(cells)
     return cells.select(*dimensions, F.round(F.least("_f", F.lit(1.0)), DIGITS).alias("probability"))
 
 

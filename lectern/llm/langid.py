@@ -10,8 +10,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from .common import cut
+
 #: Documents a fit may use (a sample by a hash of doc_id); words and n-grams the model keeps, the most frequent ones.
-TRAIN_ROWS, WORDS, GRAMS = 40_000, 60_000, 60_000
+TRAIN_ROWS, WORDS, GRAMS = 10_000, 60_000, 60_000
 #: Lengths of n-grams, longest first. A word seen fewer times than this is unseen.
 ORDERS, LEAST = (4, 3, 2, 1), 3
 #: Words whose vectors a worker keeps.
@@ -33,23 +35,24 @@ class Model:
         """``counts``: (order, 0 for words; term; language; times)."""
         self.languages = sorted({lang for _, _, lang, _ in counts})
         column = {lang: i for i, lang in enumerate(self.languages)}
-        self.tables: dict[int, dict[str, np.ndarray]] = {}
+        self.tables: dict[int, dict[str, tuple[float, ...]]] = {}
         for order in (0, *ORDERS):
             table: dict[str, np.ndarray] = {}
             for o, term, lang, n in counts:
                 if o == order:
                     table.setdefault(term, np.zeros(len(self.languages)))[column[lang]] += n
             totals = sum(table.values()) if table else 0
-            self.tables[order] = {t: np.log((c + 0.5) / (totals + 0.5 * (len(table) + 1))) for t, c in table.items()}
+            self.tables[order] = {t: tuple(np.log((c + 0.5) / (totals + 0.5 * (len(table) + 1))).tolist()) for t, c in table.items()}
 
-    def vector(self, word: str) -> np.ndarray:
+    def vector(self, word: str) -> tuple[float, ...]:
         """Log frequencies of a known word; else the mean over the known n-grams of the longest order that has any."""
         if (known := self.tables[0].get(word)) is not None:
             return known
         for n in ORDERS:
-            if found := [v for g in grams(word, n) if (v := self.tables[n].get(g)) is not None]:
-                return np.mean(found, axis=0)
-        return np.zeros(len(self.languages))
+            get = self.tables[n].get
+            if found := [v for g in grams(word, n) if (v := get(g)) is not None]:
+                return tuple(sum(c) / len(found) for c in zip(*found, strict=True))
+        return (0.0,) * len(self.languages)
 
 
 class Predictor:
@@ -75,7 +78,7 @@ class Predictor:
             self.memo.clear()
         if len(words) < MEMO:
             return self.rows[list(map(self.memo.__getitem__, words))].sum(0)
-        return sum(n * self.model.vector(w) for w, n in Counter(words).items())
+        return sum(n * np.array(self.model.vector(w)) for w, n in Counter(words).items())
 
     def predict(self, text: str | None) -> tuple[str, float]:
         words = LETTERS.findall((text or "").lower())
@@ -90,45 +93,40 @@ def held_out() -> F.Column:
     return F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % 3 == 1
 
 
-def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Counts of a task, given out whenever they are many, so memory stays bounded."""
-    counts: Counter = Counter()
+def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Word counts of a task per language, given out whenever they are many, so memory stays bounded."""
+    counts: dict[str, Counter] = {}
 
-    def out() -> pa.RecordBatch:
-        n_order, term, lang = zip(*counts, strict=True) if counts else ((), (), ())
-        made = pa.RecordBatch.from_arrays([pa.array(n_order, pa.int32()), pa.array(term, pa.string()), pa.array(lang, pa.string()), pa.array(counts.values(), pa.int64())], names=["n_order", "term", "lang", "n"])
+    def out() -> Iterator[pa.RecordBatch]:
+        for lang, c in counts.items():
+            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(c), pa.string()), pa.array(c.keys(), pa.string()), pa.array(c.values(), pa.int64())], names=["lang", "term", "n"])
         counts.clear()
-        return made
 
     for b in batches:
         for text, lang in zip(b.column("text"), b.column("lang").to_pylist(), strict=True):
-            for w, n in Counter(LETTERS.findall(text.as_py().lower())).items():
-                counts[0, w, lang] += n
-                for order in ORDERS:
-                    for g in grams(w, order):
-                        counts[order, g, lang] += n
-            if len(counts) > 300_000:
-                yield out()
-    yield out()
+            counts.setdefault(lang, Counter()).update(LETTERS.findall(text.as_py().lower()))
+        if sum(map(len, counts.values())) > 300_000:
+            yield from out()
+    yield from out()
 
 
 def train(docs: DataFrame, train_rows: int = TRAIN_ROWS) -> Model:
     """Learns from text and non-null lang of documents outside the held-out third, at most about ``train_rows`` of them.
 
-    Counts are summed in Spark; the most frequent ``WORDS`` words and ``GRAMS`` n-grams (with their language)
-    come to the driver.
+    Words are counted per task and summed in Spark; n-grams are counted from the table of words. The most frequent
+    ``WORDS`` words and ``GRAMS`` n-grams (with their language) come to the driver.
     """
     known = docs.where("text is not null and lang is not null").where(~held_out()).select("doc_id", F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
     n = known.select("doc_id").count()
     if n > train_rows:
         known = known.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < int(1_000_000 * train_rows / n))
-    counts = known.select("text", "lang").mapInArrow(_count, "n_order int, term string, lang string, n long").groupBy("n_order", "term", "lang").agg(F.sum("n").alias("n")).where(F.col("n") >= LEAST)
-    counts = counts.persist()
-    try:
-        most = lambda part, rows: [tuple(r) for r in part.orderBy(F.desc("n"), "n_order", "term", "lang").limit(rows).collect()]
-        return Model(most(counts.where("n_order = 0"), WORDS) + most(counts.where("n_order > 0"), GRAMS))
-    finally:
-        counts.unpersist()
+    words = cut(known.select("text", "lang").mapInArrow(_count_words, "lang string, term string, n long").groupBy("lang", "term").agg(F.sum("n").alias("n")))
+    padded = F.concat(F.lit(" "), "term", F.lit(" "))
+    of = lambda order, s: F.transform(F.sequence(F.lit(1), F.length(s) - order + 1), lambda i: F.struct(F.lit(order).alias("n_order"), F.substr(s, i, F.lit(order)).alias("term")))
+    every = F.concat(*[of(n, F.col("term") if n == 1 else padded) for n in ORDERS if n < 4], F.when(F.length(padded) >= 4, of(4, padded)).otherwise(F.array().cast("array<struct<n_order:int,term:string>>")))
+    found = words.select("lang", "n", F.explode(every).alias("g")).groupBy(F.col("g.n_order").alias("n_order"), F.col("g.term").alias("term"), "lang").agg(F.sum("n").alias("n"))
+    most = lambda part, rows: [tuple(r) for r in part.where(F.col("n") >= LEAST).select("n_order", "term", "lang", "n").orderBy(F.desc("n"), "n_order", "term", "lang").limit(rows).collect()]
+    return Model(most(words.withColumn("n_order", F.lit(0)), WORDS) + most(found, GRAMS))
 
 
 def identify(docs: DataFrame, model: Model) -> DataFrame:

@@ -140,29 +140,43 @@ def distance_limit(similarity: float) -> int:
     return round(bits * share + 1.5 * (bits * share * (1 - share)) ** 0.5)
 
 
-def similar_pairs(nodes: DataFrame, limit: int) -> DataFrame:
-    """Pairs a, b of nodes (node, fp array) whose long fingerprints differ in ``limit`` bits or fewer.
-
-    ``LONGS * PARTS`` segments of 21 or 22 bits; each looks up the ball of radius one around its value, as in
-    ``near_pairs``. What meets is first compared over the first 64 bits, which travel with it, then over all. A pair that
-    differs in ``limit`` bits may miss the ball of every segment: at a similarity of 0.8 about one in seven does, at
-    0.9 one in a hundred.
+def similar_links(nodes: DataFrame, limit: int) -> DataFrame:
+    """Links a, b that join all nodes (node, fp array) whose long fingerprints differ in ``limit`` bits or fewer.
+
+    ``LONGS * PARTS`` segments of 21 or 22 bits. First each node is compared with the least node of equal value in
+    each segment, at most ``LONGS * PARTS`` comparisons a node; that contracts large groups of near copies. Then, as in
+    ``near_pairs``, every segment's ball of radius one is looked up, but only what meets between different groups is
+    kept, so a group's own pairs are never rows. What meets is first compared over the first 64 bits, which travel with
+    it, then over all. A pair that differs in ``limit`` bits may miss the ball of every segment: at a similarity of 0.8
+    about one in seven does, at 0.9 one in a hundred.
     """
     edges = [BITS * i // PARTS for i in range(PARTS + 1)]
     keys = F.array(*[(_key(F.col("fp")[i], lo, hi - lo) + F.lit((i * PARTS + j) << 32)) for i in range(LONGS) for j, (lo, hi) in enumerate(zip(edges, edges[1:], strict=False))])
     widest = max(hi - lo for lo, hi in zip(edges, edges[1:], strict=False))
     masks = F.array(F.lit(0).cast("long"), *[F.lit(1 << i).cast("long") for i in range(widest)])
-    seen = nodes.select("node", F.col("fp")[0].alias("head"), F.explode(keys).alias("key"))
-    ball = F.filter(masks, lambda m: F.col("key").bitwiseAND(m) == 0)
-    asked = seen.select(F.col("node").alias("a"), F.col("head").alias("head_a"), F.col("key").alias("own"), F.explode(ball).alias("mask"))
-    asked = asked.select("a", "head_a", F.col("own").bitwiseXOR(F.col("mask")).alias("key"), (F.col("mask") == 0).alias("same"))
     share = limit / (BITS * LONGS)
     near = F.bit_count(F.col("head_a").bitwiseXOR(F.col("head_b"))) <= round(BITS * share + 4 * (BITS * share * (1 - share)) ** 0.5)
-    met = asked.join(seen.select(F.col("node").alias("b"), F.col("head").alias("head_b"), "key"), "key").where(near & (~F.col("same") | (F.col("a") < F.col("b"))) & (F.col("a") != F.col("b")))
-    pairs = met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    full = pairs.join(nodes.select(F.col("node").alias("a"), F.col("fp").alias("fp_a")), "a").join(nodes.select(F.col("node").alias("b"), F.col("fp").alias("fp_b")), "b")
     apart = F.aggregate(F.zip_with("fp_a", "fp_b", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda n, d: n + d)
-    return full.where(apart <= limit).select("a", "b")
+
+    def verified(pairs: DataFrame, of: DataFrame) -> DataFrame:
+        for end in ("a", "b"):
+            pairs = pairs.join(of.select(F.col("id").alias(end), F.col("head").alias(f"head_{end}"), F.col("fp").alias(f"fp_{end}")), [end, f"head_{end}"])
+        return pairs.where(apart <= limit).select("a", "b").distinct()
+
+    plain = nodes.select(F.col("node").alias("id"), F.col("fp")[0].alias("head"), "fp")
+    seen = plain.select("id", "head", F.explode(keys).alias("key"))
+    least = seen.groupBy("key").agg(F.min(F.struct("id", "head")).alias("c")).select("key", F.col("c.id").alias("b"), F.col("c.head").alias("head_b"))
+    met = seen.select(F.col("id").alias("a"), F.col("head").alias("head_a"), "key").join(least, "key").where(near & (F.col("a") != F.col("b")))
+    star = cut(verified(met.drop("key").distinct(), plain))
+    roots = components(star).select(F.col("node").alias("id"), "root")
+    grouped = cut(plain.join(roots, "id", "left").select(F.coalesce("root", "id").alias("id"), "head", "fp"))
+
+    seen = grouped.select("id", "head", F.explode(keys).alias("key"))
+    ball = F.filter(masks, lambda m: F.col("key").bitwiseAND(m) == 0)
+    asked = seen.select(F.col("id").alias("a"), F.col("head").alias("head_a"), F.col("key").alias("own"), F.explode(ball).alias("mask"))
+    asked = asked.select("a", "head_a", F.col("own").bitwiseXOR(F.col("mask")).alias("key"))
+    met = asked.join(seen.select(F.col("id").alias("b"), F.col("head").alias("head_b"), "key"), "key").where(near & (F.col("a") != F.col("b")))
+    return star.unionByName(verified(met.drop("key").distinct(), grouped))
 
 
 def similar_groups(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFrame:
@@ -179,7 +193,7 @@ def similar_groups(docs: DataFrame, words: int = 5, similarity: float = 0.8) ->
     made = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, fp array<long>")
     rows = stored(made.withColumn("node", F.xxhash64("fp")), "long-fingerprints")
     nodes = cut(rows.groupBy("node", "fp").agg(F.min("doc_id").alias("least")))
-    roots = cut(components(similar_pairs(nodes.select("node", "fp"), distance_limit(similarity))))
+    roots = cut(components(similar_links(nodes.select("node", "fp"), distance_limit(similarity))))
     linked = nodes.select("node", "least").join(roots, "node")
     linked = linked.join(linked.groupBy("root").agg(F.min("least").alias("_linked")), "root").select("node", "_linked")
     ids = nodes.select("node", "least").join(linked, "node", "left").select("node", F.coalesce("_linked", "least").alias("component_id"))

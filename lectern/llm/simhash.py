@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import partial
+from functools import partial, reduce
 from itertools import combinations
 
 import numpy as np
@@ -105,6 +105,8 @@ def near_groups(docs: DataFrame, words: int = WORDS, max_bits: int = MAX_BITS, s
 
 #: Longer fingerprints for a stated similarity: words of 64 bits, segments of each, and their values' ball.
 LONGS, PARTS, RADIUS = 4, 3, 1
+#: A segment's value is crowded from so many times the usual number of nodes on.
+CROWD = 4
 #: Odd multipliers that make further hashes of a shingle from its first. Fixed values.
 MIXERS = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93)
 
@@ -147,7 +149,9 @@ def similar_links(nodes: DataFrame, limit: int) -> DataFrame:
     each segment, at most ``LONGS * PARTS`` comparisons a node; that contracts large groups of near copies. Then, as in
     ``near_pairs``, every segment's ball of radius one is looked up, but only what meets between different groups is
     kept, so a group's own pairs are never rows. What meets is first compared over the first 64 bits, which travel with
-    it, then over all. A pair that differs in ``limit`` bits may miss the ball of every segment: at a similarity of 0.8
+    it, then over all. At values that ``CROWD`` times the usual number of nodes or more share (texts around one common
+    passage), whole fingerprints travel and the lookup itself compares them, so what meets there without a link is no
+    row either; at the others a lookup meets fewer than that many. A pair that differs in ``limit`` bits may miss the ball of every segment: at a similarity of 0.8
     about one in seven does, at 0.9 one in a hundred.
     """
     edges = [BITS * i // PARTS for i in range(PARTS + 1)]
@@ -156,7 +160,7 @@ def similar_links(nodes: DataFrame, limit: int) -> DataFrame:
     masks = F.array(F.lit(0).cast("long"), *[F.lit(1 << i).cast("long") for i in range(widest)])
     share = limit / (BITS * LONGS)
     near = F.bit_count(F.col("head_a").bitwiseXOR(F.col("head_b"))) <= round(BITS * share + 4 * (BITS * share * (1 - share)) ** 0.5)
-    apart = F.aggregate(F.zip_with("fp_a", "fp_b", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda n, d: n + d)
+    apart = reduce(Column.__add__, [F.bit_count(F.col("fp_a")[i].bitwiseXOR(F.col("fp_b")[i])) for i in range(LONGS)])
 
     def verified(pairs: DataFrame, of: DataFrame) -> DataFrame:
         for end in ("a", "b"):
@@ -171,12 +175,17 @@ def similar_links(nodes: DataFrame, limit: int) -> DataFrame:
     roots = components(star).select(F.col("node").alias("id"), "root")
     grouped = cut(plain.join(roots, "id", "left").select(F.coalesce("root", "id").alias("id"), "head", "fp"))
 
-    seen = grouped.select("id", "head", F.explode(keys).alias("key"))
+    ways = grouped.select("id", "head", "fp", F.explode(keys).alias("key"))
     ball = F.filter(masks, lambda m: F.col("key").bitwiseAND(m) == 0)
-    asked = seen.select(F.col("id").alias("a"), F.col("head").alias("head_a"), F.col("key").alias("own"), F.explode(ball).alias("mask"))
-    asked = asked.select("a", "head_a", F.col("own").bitwiseXOR(F.col("mask")).alias("key"))
-    met = asked.join(seen.select(F.col("id").alias("b"), F.col("head").alias("head_b"), "key"), "key").where(near & (F.col("a") != F.col("b")))
-    return star.unionByName(verified(met.drop("key").distinct(), grouped))
+    asked = ways.select(F.col("id").alias("a"), F.col("head").alias("head_a"), F.col("fp").alias("fp_a"), F.col("key").alias("own"), F.explode(ball).alias("mask"))
+    asked = asked.select("a", "head_a", "fp_a", F.col("own").bitwiseXOR(F.col("mask")).alias("key"))
+    table = ways.select(F.col("id").alias("b"), F.col("head").alias("head_b"), F.col("fp").alias("fp_b"), "key")
+    usual = 1 + grouped.count() // (1 << BITS // PARTS)
+    crowded = bounded(cut(table.groupBy("key").count().where(F.col("count") >= CROWD * usual).select("key")))
+    other = near & (F.col("a") != F.col("b"))
+    met = asked.drop("fp_a").join(table.drop("fp_b").join(crowded, "key", "left_anti"), "key").where(other)
+    linked = asked.join(crowded, "key", "left_semi").join(table.join(crowded, "key", "left_semi"), "key").where(other & (apart <= limit))
+    return star.unionByName(verified(met.drop("key").distinct(), grouped)).unionByName(linked.select("a", "b").distinct())
 
 
 def similar_groups(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFrame:

@@ -127,6 +127,24 @@ def test_long_fingerprints_find_similar_texts(spark):
     assert simhash.similar_groups(table.where("false")).count() == 0
 
 
+def test_crowded_values_lose_no_link(spark, monkeypatch):
+    """Links are the same whether all, some or none of the segments' values count as crowded."""
+    rng = random.Random(5)
+    nodes = []
+    for g in range(12):
+        centre = [rng.getrandbits(64) for _ in range(simhash.LONGS)]
+        for i in range(12):
+            fp = [x ^ sum(1 << b for b in range(64) if rng.random() < 0.09) for x in centre]
+            nodes.append((g * 100 + i, [x - (1 << 64) if x >> 63 else x for x in fp]))
+    table = spark.createDataFrame(nodes, "node long, fp array<long>")
+    found = []
+    for crowd in (1, simhash.CROWD, 1_000_000):
+        monkeypatch.setattr(simhash, "CROWD", crowd)
+        found.append({tuple(r) for r in simhash.similar_links(table, simhash.distance_limit(0.8)).collect()})
+    assert found[0] == found[1] == found[2] and len(found[0]) >= 12 * 11 - 12
+    assert all(a // 100 == b // 100 for a, b in found[0])
+
+
 def test_machine_learns_pairs():
     """Neither word alone decides: only the insult together with the group does."""
     rng = random.Random(0)

@@ -10,6 +10,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from . import jaccard
 from .common import bounded, cut, stored
 from .components import components
 
@@ -191,18 +192,12 @@ def similar_links(nodes: DataFrame, limit: int) -> DataFrame:
 def similar_groups(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFrame:
     """doc_id and component_id per row: the smallest doc_id reachable over links of the similarity or more.
 
-    The similarity is that of the sets of ``words``-word shingles, as long fingerprints estimate it. Equal fingerprints are
+    The similarity is that of the sets of ``words``-word shingles of the whole texts, see ``jaccard``. Equal sets are
     one node; nulls, repeated rows and empty tables as in ``near_groups``.
     """
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array([long_fingerprint(t.as_py(), words) for t in b.column("text")], pa.list_(pa.int64()))], names=["doc_id", "fp"])
-
-    made = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, fp array<long>")
-    rows = stored(made.withColumn("node", F.xxhash64("fp")), "long-fingerprints")
-    nodes = cut(rows.groupBy("node", "fp").agg(F.min("doc_id").alias("least")))
-    roots = cut(components(similar_links(nodes.select("node", "fp"), distance_limit(similarity))))
+    rows = stored(jaccard.signatures(docs, words), "signatures")
+    nodes = cut(rows.groupBy("node").agg(F.min("doc_id").alias("least"), F.min(F.struct("text_key", "size", "odd", "keys")).alias("c")).select("node", "least", "c.*"))
+    roots = cut(components(jaccard.links(nodes, docs, words, similarity)))
     linked = nodes.select("node", "least").join(roots, "node")
     linked = linked.join(linked.groupBy("root").agg(F.min("least").alias("_linked")), "root").select("node", "_linked")
     ids = nodes.select("node", "least").join(linked, "node", "left").select("node", F.coalesce("_linked", "least").alias("component_id"))

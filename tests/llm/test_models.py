@@ -127,6 +127,33 @@ def test_long_fingerprints_find_similar_texts(spark):
     assert simhash.similar_groups(table.where("false")).count() == 0
 
 
+def shingle_set(text, words=5):
+    w = text.lower().split()
+    return {tuple(w[i : i + words]) for i in range(len(w) - words + 1)} or {tuple(w)}
+
+
+def similarity(a, b):
+    a, b = shingle_set(a), shingle_set(b)
+    return len(a & b) / len(a | b)
+
+
+def test_near_copies_down_to_the_similarity_are_linked(spark):
+    """Pairs of texts without a third copy, at shingle similarities from 0.8 on, are all joined; those below are not."""
+    rng = random.Random(21)
+    rows, pairs = [], []
+    for i in range(400):
+        n = rng.randint(60, 300)
+        words = [f"p{i}w{j}" for j in range(n)]
+        cut = rng.randint(round(0.06 * n), round(0.13 * n))  # 2 * cut of n + cut shingles differ
+        other = words[: n - cut] + [f"q{i}w{j}" for j in range(cut)]
+        rows += [(2 * i, " ".join(words)), (2 * i + 1, " ".join(other))]
+        pairs.append((2 * i, similarity(rows[-2][1], rows[-1][1])))
+    group = {r["doc_id"]: r["component_id"] for r in simhash.similar_groups(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert sum(0.8 <= s < 0.85 for _, s in pairs) > 100 and sum(s < 0.8 for _, s in pairs) > 50
+    for i, s in pairs:
+        assert (group[i + 1] == i) == (s >= 0.8), s
+
+
 def test_crowded_values_lose_no_link(spark, monkeypatch):
     """Links are the same whether all, some or none of the segments' values count as crowded."""
     rng = random.Random(5)

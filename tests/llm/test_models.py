@@ -154,6 +154,22 @@ def test_near_copies_down_to_the_similarity_are_linked(spark):
         assert (group[i + 1] == i) == (s >= 0.8), s
 
 
+def test_texts_below_the_similarity_are_left_alone(spark):
+    """Neither a repeated common line nor a similarity of 0.7 to 0.79 makes texts one group."""
+    rng = random.Random(4)
+    line = " ".join(f"common{j}" for j in range(16)) + "\n"
+    rows = [(i, line * 25 + " ".join(f"own{i}x{j}" for j in range(100))) for i in range(20)]
+    for i in range(100, 200, 2):
+        n = rng.randint(80, 200)
+        words, cut = [f"t{i}w{j}" for j in range(n)], round(0.15 * n)
+        rows += [(i, " ".join(words)), (i + 1, " ".join(words[: n - cut] + [f"u{i}w{j}" for j in range(cut)]))]
+    texts = dict(rows)
+    assert similarity(texts[0], texts[1]) < 0.2 and all(0.7 < similarity(texts[i], texts[i + 1]) < 0.79 for i in range(100, 200, 2))
+    table = spark.createDataFrame(rows, "doc_id long, text string")
+    left = sorted(map(tuple, simhash.drop_near_duplicates(table).collect()))
+    assert left == sorted(rows)
+
+
 def test_crowded_values_lose_no_link(spark, monkeypatch):
     """Links are the same whether all, some or none of the segments' values count as crowded."""
     rng = random.Random(5)

@@ -8,12 +8,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from .common import cut
 
-#: Documents a fit may use (a sample by a hash of doc_id); words and n-grams the model keeps, the most frequent ones.
-TRAIN_ROWS, WORDS, GRAMS = 10_000, 60_000, 60_000
+#: Documents a fit may use (a sample by a hash of doc_id), but at least so many of each language; words the model keeps of
+#: each language and n-grams of each language and order, the most frequent ones.
+TRAIN_ROWS, LANG_ROWS, WORDS, GRAMS = 40_000, 1_000, 60_000, 60_000
 #: Lengths of n-grams, longest first. A word seen fewer times than this is unseen.
 ORDERS, LEAST = (4, 3, 2, 1), 3
 #: Words whose vectors a worker keeps.
@@ -111,21 +112,25 @@ def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def train(docs: DataFrame, train_rows: int = TRAIN_ROWS) -> Model:
-    """Learns from text and non-null lang of documents outside the held-out third, at most about ``train_rows`` of them.
+    """Learns from text and non-null lang of documents outside the held-out third, at most about ``train_rows`` of them
+    and ``LANG_ROWS`` of each rare language.
 
     Words are counted per task and summed in Spark; n-grams are counted from the table of words. The most frequent
-    ``WORDS`` words and ``GRAMS`` n-grams (with their language) come to the driver.
+    ``WORDS`` words of each language and ``GRAMS`` n-grams of each language and order come to the driver.
     """
     known = docs.where("text is not null and lang is not null").where(~held_out()).select("doc_id", F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
-    n = known.select("doc_id").count()
-    if n > train_rows:
-        known = known.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < int(1_000_000 * train_rows / n))
+    sizes = {r["lang"]: r["count"] for r in known.groupBy("lang").count().collect()}  # a row per language
+    if (n := sum(sizes.values())) > train_rows:
+        shares = [(lang, max(train_rows / n, min(1.0, LANG_ROWS / of))) for lang, of in sizes.items()]
+        shares = F.broadcast(known.sparkSession.createDataFrame(shares, "lang string, _share double"))
+        known = known.join(shares, "lang").where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < F.col("_share") * 1_000_000)
     words = cut(known.select("text", "lang").mapInArrow(_count_words, "lang string, term string, n long").groupBy("lang", "term").agg(F.sum("n").alias("n")))
     padded = F.concat(F.lit(" "), "term", F.lit(" "))
     of = lambda order, s: F.transform(F.sequence(F.lit(1), F.length(s) - order + 1), lambda i: F.struct(F.lit(order).alias("n_order"), F.substr(s, i, F.lit(order)).alias("term")))
     every = F.concat(*[of(n, F.col("term") if n == 1 else padded) for n in ORDERS if n < 4], F.when(F.length(padded) >= 4, of(4, padded)).otherwise(F.array().cast("array<struct<n_order:int,term:string>>")))
     found = words.select("lang", "n", F.explode(every).alias("g")).groupBy(F.col("g.n_order").alias("n_order"), F.col("g.term").alias("term"), "lang").agg(F.sum("n").alias("n"))
-    most = lambda part, rows: [tuple(r) for r in part.where(F.col("n") >= LEAST).select("n_order", "term", "lang", "n").orderBy(F.desc("n"), "n_order", "term", "lang").limit(rows).collect()]
+    place = F.row_number().over(Window.partitionBy("lang", "n_order").orderBy(F.desc("n"), "term"))
+    most = lambda part, rows: sorted(tuple(r) for r in part.where(F.col("n") >= LEAST).withColumn("place", place).where(F.col("place") <= rows).select("n_order", "term", "lang", "n").collect())
     return Model(most(words.withColumn("n_order", F.lit(0)), WORDS) + most(found, GRAMS))
 
 

@@ -304,6 +304,12 @@ def test_propagation(spark):
     assert url_filter.judge(none).count() == 0
 
 
+def test_rare_languages_are_learned(spark):
+    docs = [(i, "the house stands on the hill", "en") for i in range(3000)] + [(i, "talo seisoo mäellä", "fi") for i in range(3000, 3006)]
+    model = langid.train(spark.createDataFrame(docs, "doc_id long, text string, lang string"), train_rows=100)
+    assert langid.Predictor(model).predict("talo mäellä")[0] == "fi"
+
+
 @pytest.mark.parametrize("name", sorted(entry.ORACLES))
 def test_query_equals_sql(spark, name):
     con = duckdb.connect()

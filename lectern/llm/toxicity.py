@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from .common import bounded
 
 #: Labelled rows that a fit may use: beyond it a sample by a hash of doc_id.
-TRAIN_ROWS = 6_000
+TRAIN_ROWS = 12_000
 #: Hash buckets of terms; features the machine keeps; its factors.
 BUCKETS, FEATURES, FACTORS = 1 << 18, 1024, 8
 #: A term in a text at least so many times is a feature of its own.

@@ -16,7 +16,11 @@ RULES = (
     ("block", "net/es/"),
     ("block", "net/fr/"),
 )
-DAMPING, ROUNDS, DIGITS = 0.85, 10, 9
+DAMPING, DIGITS = 0.85, 9
+#: Rounds end when scores change by less than this in sum (each round's change is at most ``DAMPING`` times the last one's), at the latest after so many.
+TOLERANCE, ROUNDS = 1e-9, 130
+#: Rounds of the SQL, which has no loop.
+SQL_ROUNDS = 10
 
 #: The host is what follows the first "://" up to "/", "?" or "#"; the path follows up to "?" or "#".
 URL = r"(?s)^.*?://([^/?#]*)([^?#]*)"
@@ -61,7 +65,7 @@ def propagate(flow: DataFrame, seeds: DataFrame, rounds: int = ROUNDS, damping:
     """kind, host, score: personalised PageRank of each kind from its seeds (kind, host; equal weights, sum 1).
 
     Each round is one join of the flows with the scores and one sum, checkpointed; what reaches a host without
-    further links is not handed back. Without flows the seeds keep their weights.
+    further links is not handed back. Rounds end when the scores stand still (``TOLERANCE``). Without flows the seeds keep their weights.
     """
     totals = seeds.groupBy("kind").agg(F.count("*").alias("n"))
     start = cut(seeds.join(F.broadcast(totals), "kind").select("kind", "host", (1.0 / F.col("n")).alias("score")))  # two kinds, two rows
@@ -71,7 +75,10 @@ def propagate(flow: DataFrame, seeds: DataFrame, rounds: int = ROUNDS, damping:
     home = start.select("kind", "host", (F.col("score") * (1 - damping)).alias("score"))
     for _ in range(rounds):
         sent = flow.join(score.withColumnRenamed("host", "from"), ["kind", "from"]).select("kind", F.col("to").alias("host"), (F.col("share") * F.col("score") * damping).alias("score"))
-        score = cut(sent.unionByName(home).groupBy("kind", "host").agg(F.sum("score").alias("score")))
+        last, score = score, cut(sent.unionByName(home).groupBy("kind", "host").agg(F.sum("score").alias("score")))
+        both = score.join(last.withColumnRenamed("score", "before"), ["kind", "host"], "full")
+        if (both.agg(F.sum(F.abs(F.coalesce("score", F.lit(0.0)) - F.coalesce("before", F.lit(0.0))))).first()[0] or 0.0) < TOLERANCE:
+            break
     return score
 
 
@@ -91,11 +98,11 @@ def judge(pages: DataFrame, rules: tuple[tuple[str, str], ...] = RULES, rounds:
     most = lambda v: 2 * F.count(F.when(F.col("fit.verdict") == v, 1)) > n
     seeds = parsed.where("host != ''").groupBy("host").agg(F.when(most("allow"), "trust").when(most("block"), "distrust").alias("kind")).where("kind is not null").select("kind", "host")
     flow = flows(pages.select(host_of(F.col("url")).alias("host"), "html"))
-    of = lambda kind: F.round(F.sum(F.when(F.col("kind") == kind, F.col("score")).otherwise(0.0)), DIGITS).alias(kind)
+    of = lambda kind: F.sum(F.when(F.col("kind") == kind, F.col("score")).otherwise(0.0)).alias(kind)
     scores = stored(propagate(flow, seeds, rounds, damping).groupBy("host").agg(of("trust"), of("distrust")), "host-scores")
     rows = parsed.join(bounded(scores), "host", "left").fillna(0.0, ["trust", "distrust"])
     own = F.when(F.col("distrust") > F.col("trust"), "block").otherwise("allow")
-    return rows.select("page_id", "host", "path", F.col("fit.rule").alias("rule"), F.coalesce("fit.verdict", own).alias("verdict"), "trust", "distrust")
+    return rows.select("page_id", "host", "path", F.col("fit.rule").alias("rule"), F.coalesce("fit.verdict", own).alias("verdict"), *(F.round(k, DIGITS).alias(k) for k in ("trust", "distrust")))
 
 
 def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -117,13 +124,13 @@ l AS (SELECT host, translate(regexp_extract(u, '{URL}', 1), {fold}) AS t, count(
 e AS (SELECT * FROM l WHERE host <> '' AND t <> '' AND host <> t),
 f AS (SELECT 'trust' AS kind, host AS a, t AS b, n / sum(n) OVER (PARTITION BY host) AS share FROM e
       UNION ALL SELECT 'distrust', t, host, n / sum(n) OVER (PARTITION BY t) FROM e)"""
-    for i in range(ROUNDS):
+    for i in range(SQL_ROUNDS):
         sql += f""",
 s{i + 1} AS MATERIALIZED (SELECT kind, host, sum(score) AS score FROM (
   SELECT f.kind, b AS host, share * score * {DAMPING} AS score FROM f JOIN s{i} s ON f.kind = s.kind AND f.a = s.host
   UNION ALL SELECT kind, host, score * CASE WHEN EXISTS (FROM f) THEN {1 - DAMPING} ELSE 1 END FROM s0) GROUP BY ALL)"""
     return sql + f""",
-r AS (SELECT host, round(sum(score) FILTER (kind = 'trust'), {DIGITS}) AS t, round(sum(score) FILTER (kind = 'distrust'), {DIGITS}) AS d FROM s{ROUNDS} GROUP BY host)
+r AS (SELECT host, round(sum(score) FILTER (kind = 'trust'), {DIGITS}) AS t, round(sum(score) FILTER (kind = 'distrust'), {DIGITS}) AS d FROM s{SQL_ROUNDS} GROUP BY host)
 SELECT page_id, host, path, rule, coalesce(fit, CASE WHEN coalesce(d, 0) > coalesce(t, 0) THEN 'block' ELSE 'allow' END) AS verdict,
        coalesce(t, 0)::DOUBLE AS trust, coalesce(d, 0)::DOUBLE AS distrust
 FROM j LEFT JOIN r USING (host)

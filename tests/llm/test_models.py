@@ -304,6 +304,15 @@ def test_propagation(spark):
     assert url_filter.judge(none).count() == 0
 
 
+def test_verdicts_hold_for_many_hosts_and_long_chains(spark, monkeypatch):
+    """Scores far below the reported digits and hosts 14 links away from a blocked one all count."""
+    pages = [(0, "http://bad.net/es/", ""), *[(i, f"http://c{i}.org/", f"<a href='http://{'bad.net' if i == 1 else f'c{i - 1}.org'}/x'>l</a>") for i in range(1, 15)]]
+    table = spark.createDataFrame(pages, "page_id long, url string, html string")
+    assert {r["verdict"] for r in url_filter.judge(table).collect()} == {"block"}
+    monkeypatch.setattr(url_filter, "DIGITS", 1)
+    assert {r["verdict"] for r in url_filter.judge(table).collect()} == {"block"}
+
+
 def test_rare_languages_are_learned(spark):
     docs = [(i, "the house stands on the hill", "en") for i in range(3000)] + [(i, "talo seisoo mäellä", "fi") for i in range(3000, 3006)]
     model = langid.train(spark.createDataFrame(docs, "doc_id long, text string, lang string"), train_rows=100)

@@ -19,12 +19,14 @@ RULES = (
 DAMPING, DIGITS = 0.85, 9
 #: Rounds end when scores change by less than this in sum (each round's change is at most ``DAMPING`` times the last one's), at the latest after so many.
 TOLERANCE, ROUNDS = 1e-9, 130
-#: Rounds of the SQL, which has no loop.
+#: Rounds of the SQL, which has no loop; it finds links with a scheme only.
 SQL_ROUNDS = 10
 
 #: The host is what follows the first "://" up to "/", "?" or "#"; the path follows up to "?" or "#".
 URL = r"(?s)^.*?://([^/?#]*)([^?#]*)"
-LINK = r"""(?i)href\s*=\s*["']?\s*([a-z][a-z0-9+.\-]*://[^/?#"'\s>]+)"""
+SQL_LINK = r"""(?i)href\s*=\s*["']?\s*([a-z][a-z0-9+.\-]*://[^/?#"'\s>]+)"""
+#: An address may leave out the scheme (//host/path).
+LINK = r"""(?i)href\s*=\s*["']?\s*((?:[a-z][a-z0-9+.\-]*:)?//[^/?#"'\s>]+)"""
 
 
 def host_of(url: Column) -> Column:
@@ -52,7 +54,7 @@ def flows(pages: DataFrame) -> DataFrame:
     Links are the absolute addresses in ``href``; they are counted per pair of hosts before anything else, so hosts
     with very many links cost as many rows as they have neighbours. Links within a host say nothing.
     """
-    links = pages.select("host", F.explode(F.regexp_extract_all(F.coalesce(F.col("html").cast("string"), F.lit("")), F.lit(LINK), 1)).alias("to")).select("host", host_of(F.col("to")).alias("to"))
+    links = pages.select("host", F.explode(F.regexp_extract_all(F.coalesce(F.col("html").cast("string"), F.lit("")), F.lit(LINK), 1)).alias("to")).select("host", host_of(F.when(F.col("to").startswith("//"), F.concat(F.lit(":"), "to")).otherwise(F.col("to"))).alias("to"))
     links = stored(links.where("host != '' and to != '' and host != to").groupBy("host", "to").agg(F.count("*").alias("n")), "host-links")
     out = links.groupBy("host").agg(F.sum("n").alias("total"))
     into = links.groupBy("to").agg(F.sum("n").alias("total"))
@@ -119,7 +121,7 @@ WITH p AS (SELECT page_id, translate(regexp_extract(coalesce(url, ''), '{URL}',
 j AS (SELECT *, CASE {cases(1)} END AS rule, CASE {cases(0)} END AS fit FROM p),
 k AS (SELECT CASE WHEN 2 * count(*) FILTER (fit = 'allow') > count(*) THEN 'trust' WHEN 2 * count(*) FILTER (fit = 'block') > count(*) THEN 'distrust' END AS kind, host FROM j WHERE host <> '' GROUP BY host),
 s0 AS (SELECT kind, host, 1::DOUBLE / count(*) OVER (PARTITION BY kind) AS score FROM k WHERE kind IS NOT NULL),
-u AS (SELECT host, unnest(regexp_extract_all(coalesce(html, ''), '{LINK.replace("'", "''")}', 1)) AS u FROM p),
+u AS (SELECT host, unnest(regexp_extract_all(coalesce(html, ''), '{SQL_LINK.replace("'", "''")}', 1)) AS u FROM p),
 l AS (SELECT host, translate(regexp_extract(u, '{URL}', 1), {fold}) AS t, count(*) AS n FROM u GROUP BY ALL),
 e AS (SELECT * FROM l WHERE host <> '' AND t <> '' AND host <> t),
 f AS (SELECT 'trust' AS kind, host AS a, t AS b, n / sum(n) OVER (PARTITION BY host) AS share FROM e

@@ -313,6 +313,11 @@ def test_verdicts_hold_for_many_hosts_and_long_chains(spark, monkeypatch):
     assert {r["verdict"] for r in url_filter.judge(table).collect()} == {"block"}
 
 
+def test_links_without_a_scheme_count(spark):
+    pages = [(0, "http://bad.net/es/", ""), (1, "http://c.org/", "<a href='//bad.net/x'>l</a>")]
+    assert {r["verdict"] for r in url_filter.judge(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()} == {"block"}
+
+
 def test_rare_languages_are_learned(spark):
     docs = [(i, "the house stands on the hill", "en") for i in range(3000)] + [(i, "talo seisoo mäellä", "fi") for i in range(3000, 3006)]
     model = langid.train(spark.createDataFrame(docs, "doc_id long, text string, lang string"), train_rows=100)

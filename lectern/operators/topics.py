@@ -23,11 +23,11 @@ def term_lists(passages: DataFrame, stop_words: list[str] | None = None) -> Data
 def lda(passages: DataFrame, k: int = 5, vocabulary: int = 5_000, rounds: int = 10, seed: int = SEED) -> DataFrame:
     """id, topics (shares that sum to 1), group (the dominant topic; ties to the lowest).
 
-    Online variational Bayes over bags of the most frequent terms. Passages without terms have equal shares.
+    Online variational Bayes, each round over all passages, on bags of the most frequent terms. Passages without terms have equal shares.
     """
     terms = term_lists(passages)
     counted = CountVectorizer(inputCol="terms", outputCol="bag", vocabSize=vocabulary, minDF=2.0)
-    model = Pipeline(stages=[counted, LDA(k=k, maxIter=rounds, seed=seed, optimizer="online", featuresCol="bag", topicDistributionCol="share")]).fit(terms)
+    model = Pipeline(stages=[counted, LDA(k=k, maxIter=rounds, seed=seed, optimizer="online", subsamplingRate=1.0, featuresCol="bag", topicDistributionCol="share")]).fit(terms)
     shares = vector_to_array("share")
     total = F.aggregate(shares, F.lit(0.0), lambda a, x: a + x)
     topics = F.when(total > 0, F.transform(shares, lambda x: x / total)).otherwise(F.array_repeat(F.lit(1.0 / k), k))

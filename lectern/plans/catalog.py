@@ -289,7 +289,7 @@ def canvas_points(spark, sf):
 
 @query()
 def topics_lda(spark, sf):
-    return topics.lda(docs(spark, sf), rounds=5).select("id", "group")
+    return topics.lda(docs(spark, sf)).select("id", "group")
 
 
 @query()

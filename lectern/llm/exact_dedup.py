@@ -70,13 +70,12 @@ def duplicate_groups(docs: DataFrame, digest_all: bool = False, prefix_chars: in
 def drop_duplicates(docs: DataFrame, prefix_chars: int = PREFIX_CHARS) -> DataFrame:
     """``docs`` without the rows that ``duplicate_groups`` drops, all columns kept.
 
-    Of rows repeated whole (same doc_id, same text) one stays. doc_id identifies a document: rows of one doc_id
-    with different texts are all dropped if one of them is a copy of another document's text. Rows with a null
-    doc_id cannot be told apart, so they stay.
+    Of rows repeated whole (same doc_id, same text) one stays. A row goes by its doc_id and text,
+    so another text under the same doc_id stays. Rows with a null doc_id cannot be told apart, so they stay.
     """
     verdict = stored(duplicate_groups(docs, prefix_chars=prefix_chars), "dedup-verdict")
-    gone = verdict.where("not kept and doc_id is not null").select(F.col("doc_id").alias("_gone")).distinct()
-    left = docs.join(bounded(gone), F.col("doc_id") == F.col("_gone"), "left_anti")
+    gone = verdict.where("not kept and doc_id is not null").select(F.col("doc_id").alias("_gone"), F.col("text_sha256").alias("_digest")).distinct()
+    left = docs.join(bounded(gone), (F.col("doc_id") == F.col("_gone")) & (_full_hash(text_or_empty()) == F.col("_digest")), "left_anti")
     repeated = verdict.where("kept and doc_id is not null and group_size > 1").groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias("_twice"))
     if repeated.isEmpty():
         return left

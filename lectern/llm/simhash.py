@@ -190,7 +190,7 @@ def similar_links(nodes: DataFrame, limit: int) -> DataFrame:
 
 
 def similar_groups(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFrame:
-    """doc_id and component_id per row: the smallest doc_id reachable over links of the similarity or more.
+    """doc_id, text_key (XXH64 of the text) and component_id per row: the smallest doc_id reachable over links of the similarity or more.
 
     The similarity is that of the sets of ``words``-word shingles of the whole texts, see ``jaccard``. Equal sets are
     one node; nulls, repeated rows and empty tables as in ``near_groups``.
@@ -201,17 +201,18 @@ def similar_groups(docs: DataFrame, words: int = 5, similarity: float = 0.8) ->
     linked = nodes.select("node", "least").join(roots, "node")
     linked = linked.join(linked.groupBy("root").agg(F.min("least").alias("_linked")), "root").select("node", "_linked")
     ids = nodes.select("node", "least").join(linked, "node", "left").select("node", F.coalesce("_linked", "least").alias("component_id"))
-    return rows.select("doc_id", "node").join(ids, "node").select("doc_id", "component_id")
+    return rows.select("doc_id", "text_key", "node").join(ids, "node").select("doc_id", "text_key", "component_id")
 
 
 def drop_near_duplicates(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFrame:
     """``docs`` with one document of each group: the one whose doc_id names the component. All columns are kept.
 
     Rows with a null doc_id belong to no group here and stay; rows repeated under the kept doc_id all stay.
+    A row goes by its doc_id and text, so another text under the same doc_id stays.
     """
     groups = similar_groups(docs, words, similarity)
-    gone = stored(groups.where("doc_id != component_id").select(F.col("doc_id").alias("_gone")).distinct(), "near-gone")
-    return docs.join(bounded(gone), F.col("doc_id") == F.col("_gone"), "left_anti")
+    gone = stored(groups.where("doc_id != component_id").select(F.col("doc_id").alias("_gone"), "text_key").distinct(), "near-gone")
+    return docs.join(bounded(gone), (F.col("doc_id") == F.col("_gone")) & (F.xxhash64(F.col("text").cast("string")) == gone["text_key"]), "left_anti")
 
 
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

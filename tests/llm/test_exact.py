@@ -62,6 +62,12 @@ def test_drop_duplicates_keeps_columns(docs, empty):
     assert exact_dedup.drop_duplicates(empty).count() == 0
 
 
+def test_dropping_copies_keeps_other_texts_of_the_doc_id(spark):
+    rows = [(7, "a"), (7, "b"), (9, "A"), (5, "c")]
+    left = exact_dedup.drop_duplicates(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert sorted(map(tuple, left.collect())) == [(5, "c"), (7, "b"), (9, "A")]
+
+
 def jump(key, shards):
     b = j = 0
     while j < shards:

@@ -155,7 +155,7 @@ def test_near_copies_down_to_the_similarity_are_linked(spark):
 
 
 def test_texts_below_the_similarity_are_left_alone(spark):
-    """Neither a repeated common line nor a similarity of 0.7 to 0.79 makes texts one group."""
+    """Neither a repeated common line nor a similarity of 0.7 to 0.79 makes texts one group; other texts of a doc_id stay."""
     rng = random.Random(4)
     line = " ".join(f"common{j}" for j in range(16)) + "\n"
     rows = [(i, line * 25 + " ".join(f"own{i}x{j}" for j in range(100))) for i in range(20)]
@@ -165,9 +165,9 @@ def test_texts_below_the_similarity_are_left_alone(spark):
         rows += [(i, " ".join(words)), (i + 1, " ".join(words[: n - cut] + [f"u{i}w{j}" for j in range(cut)]))]
     texts = dict(rows)
     assert similarity(texts[0], texts[1]) < 0.2 and all(0.7 < similarity(texts[i], texts[i + 1]) < 0.79 for i in range(100, 200, 2))
-    table = spark.createDataFrame(rows, "doc_id long, text string")
+    table = spark.createDataFrame([*rows, (300, texts[5]), (300, "another text of this doc_id")], "doc_id long, text string")
     left = sorted(map(tuple, simhash.drop_near_duplicates(table).collect()))
-    assert left == sorted(rows)
+    assert left == sorted([*rows, (300, "another text of this doc_id")])
 
 
 def test_crowded_values_lose_no_link(spark, monkeypatch):

@@ -1,10 +1,12 @@
-"""What the operators share: ASCII lower-casing, the shared scratch folder, lineage cuts and size-checked broadcasts."""
+"""What the operators share: ASCII lower-casing, free column names, the shared scratch folder, lineage cuts and size-checked broadcasts."""
 
 from __future__ import annotations
 
 import string
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
@@ -26,20 +28,65 @@ def text_or_empty(name: str = "text") -> Column:
     return F.coalesce(F.col(name).cast("string"), F.lit(""))
 
 
+def free(df: DataFrame, *stems: str) -> list[str]:
+    """A name for each stem that no column of ``df`` has, whatever its case."""
+    taken, found = {c.lower() for c in df.columns}, []
+    for name in stems:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        found.append(name)
+    return found
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``; one is set only where none is (tests)."""
+    """The folder that driver and executors share: ``spark.checkpoint.dir``.
+
+    Where none is set, a local session gets one of its own; on a cluster that is an error, since a folder of one
+    machine would lose what the others write.
+    """
     sc = spark.sparkContext
     root = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
     if not root:
         if sc._jsc.sc().getCheckpointDir().isEmpty():
+            if not sc._jsc.sc().isLocal():
+                raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
             sc.setCheckpointDir(tempfile.mkdtemp(prefix="lectern-"))
         root = sc._jsc.sc().getCheckpointDir().get()
     return root.rstrip("/")
 
 
+_open: list[list[str]] = []
+
+
+def _path(spark: SparkSession, path: str):
+    there = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return there.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), there
+
+
 def scratch(spark: SparkSession, name: str) -> str:
-    """A path under the shared folder that no other call uses."""
-    return f"{shared_dir(spark)}/lectern/{name}-{uuid.uuid4().hex}"
+    """A path under the shared folder that no other call uses. Its application's folder goes when the driver's JVM ends."""
+    folder = f"{shared_dir(spark)}/lectern-{spark.sparkContext.applicationId}"
+    files, there = _path(spark, folder)
+    if not files.exists(there):
+        files.mkdirs(there)
+        files.deleteOnExit(there)
+    path = f"{folder}/{name}-{uuid.uuid4().hex}"
+    if _open:
+        _open[-1].append(path)
+    return path
+
+
+@contextmanager
+def workspace(spark: SparkSession) -> Iterator[None]:
+    """Deletes at its end the scratch tables that were made within: for callers that have written what they keep."""
+    _open.append([])
+    try:
+        yield
+    finally:
+        for path in _open.pop():
+            files, there = _path(spark, path)
+            files.delete(there, True)
 
 
 def cut(df: DataFrame) -> DataFrame:
@@ -49,7 +96,11 @@ def cut(df: DataFrame) -> DataFrame:
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:
-    """Writes ``df`` as Parquet into the shared folder and reads it back (columnar, compressed, prunable)."""
+    """Writes ``df`` as Parquet into the shared folder and reads it back (columnar, compressed, prunable).
+
+    A sum or count that is stored before it is joined has an exchange of its own there, so that Spark can split
+    the other side's hot keys.
+    """
     path = scratch(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -35,7 +35,7 @@ def _as_ranks(path: str):
     """The same tokenizer as a table of ranks, or None where that would not give the library's ids.
 
     It holds for a byte-level BPE without normaliser or prefix space whose k-th merge makes the k-th token
-    after the bytes, and whose added tokens take no white space from their sides.
+    after the bytes, and whose added tokens hold no white space and take none from their sides.
     """
     with open(path, encoding="utf-8") as f:
         spec = json.load(f)
@@ -44,7 +44,7 @@ def _as_ranks(path: str):
         return None
     if pre.get("type") != "ByteLevel" or pre.get("add_prefix_space") or not pre.get("use_regex", True):
         return None
-    if any(t["single_word"] or t["lstrip"] or t["rstrip"] for t in added):
+    if any(t["single_word"] or t["lstrip"] or t["rstrip"] or t.get("normalized") and spec.get("normalizer") or re.search(r"\s", t["content"]) for t in added):
         return None
     special = {t["content"]: t["id"] for t in added}
     merges = [m if isinstance(m, str) else " ".join(m) for m in model["merges"]]

@@ -47,7 +47,10 @@ def test_duplicate_groups(docs, empty, digest_all):
     for i, t in AWKWARD:
         groups[fold(t)].append(i)
     key = lambda r: tuple(map(str, r))
-    expected = [(i, max((j for j in g if j is not None), default=None), len(g), i == max((j for j in g if j is not None), default=None)) for g in groups.values() for i in g]
+    expected = []
+    for g in groups.values():
+        g = sorted(g, key=lambda j: (j is not None, j), reverse=True)
+        expected += [(j, g[0], len(g), at == 0) for at, j in enumerate(g)]  # one row of a group stays, repeated rows too
     assert sorted(rows, key=key) == sorted(expected, key=key)
     if digest_all:
         digests = {(r["doc_id"], r["text_sha256"]) for r in exact_dedup.duplicate_groups(docs, True).collect()}
@@ -58,7 +61,7 @@ def test_duplicate_groups(docs, empty, digest_all):
 def test_drop_duplicates_keeps_columns(docs, empty):
     left = exact_dedup.drop_duplicates(docs)
     assert left.columns == docs.columns
-    assert sorted(str(r["doc_id"]) for r in left.collect()) == sorted(["10", "4", "5", "None", "None", "7", "8", "9"])
+    assert sorted(str(r["doc_id"]) for r in left.collect()) == sorted(["10", "4", "5", "None", "7", "8", "9"])  # the null id without a text goes with 4
     assert exact_dedup.drop_duplicates(empty).count() == 0
 
 
@@ -68,6 +71,17 @@ def test_dropping_copies_keeps_other_texts_of_the_doc_id(spark):
     assert sorted(map(tuple, left.collect())) == [(5, "c"), (7, "b"), (9, "A")]
 
 
+def test_dropping_copies_among_null_ids(spark):
+    """Rows without a doc_id are told apart by their texts; of copies among them, or of rows repeated whole, one stays."""
+    rows = [(None, "A", 1), (None, "a", 2), (None, "a", 2), (None, "other", 3), (3, "x", 4), (3, "x", 4), (3, "X", 5), (None, "x", 6), (3, "y", 7)]
+    table = spark.createDataFrame(rows, "doc_id long, text string, gone_doc int")
+    left = exact_dedup.drop_duplicates(table)
+    assert left.columns == table.columns
+    assert sorted((str(r["doc_id"]), fold(r["text"])) for r in left.collect()) == [("3", "x"), ("3", "y"), ("None", "a"), ("None", "other")]
+    groups = exact_dedup.duplicate_groups(table).collect()
+    assert sum(r["kept"] for r in groups) == 4 and len(groups) == len(rows)
+
+
 def jump(key, shards):
     b = j = 0
     while j < shards:
@@ -148,6 +162,18 @@ def test_counts_and_cache(spark, docs, empty, tokenizer, tmp_path):
     assert token_counts.count_tokens(empty, vocabulary(), f"{cache}2").count() == 0
 
 
+@pytest.mark.parametrize("most", [0, 5, 1000])
+def test_misses_are_encoded_once(spark, docs, monkeypatch, most):
+    """One text per digest that the cache lacks, whichever set is small enough to be sent to the texts."""
+    monkeypatch.setattr(token_counts, "BROADCAST_ROWS", most)
+    texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("digest", F.unhex(F.sha2("text", 256)))
+    each = texts.groupBy("digest", "doc_id").count().groupBy("digest").agg(F.sum("count").alias("rows"), F.min(F.struct("doc_id", "count")).alias("of")).select("digest", "rows", F.col("of.doc_id").alias("owner"), F.col("of.count").alias("owned"))
+    hit = each.where("rows = 1").orderBy("digest").limit(2)
+    got = token_counts._misses(texts, each.join(hit, "digest", "left_anti"), hit.select("digest")).collect()
+    expected = {t or "" for _, t in AWKWARD} - {r["text"] for r in texts.join(hit, "digest", "left_semi").collect()}
+    assert sorted(r["text"] for r in got) == sorted(expected)
+
+
 def unpack(rows, sizes, end=True):
     """Each document's ids from its pieces; checks sequences on the way."""
     by_doc, by_sequence = defaultdict(list), defaultdict(list)

@@ -109,3 +109,21 @@ def stored(df: DataFrame, name: str) -> DataFrame:
 def bounded(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     """``df`` with a broadcast hint if it has at most ``rows`` rows, else unchanged (the join then shuffles)."""
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+
+
+def keep_judged(docs: DataFrame, judged: DataFrame) -> DataFrame:
+    """``docs`` without the rows that ``judged`` (doc_id, own, n, stays) drops, all columns kept.
+
+    ``own`` is the XXH64 of a row's text (null: of ''); a row goes by it and its doc_id, null ids too. Rows that stay
+    but share both with others (n > 1) become one; which of them is open if other columns differ.
+    """
+    doc, key, own = free(docs, "judged_doc", "judged_key", "own_key")
+    hashed = docs.withColumn(own, F.xxhash64(text_or_empty()))
+    at = F.col("doc_id").eqNullSafe(F.col(doc)) & (F.col(own) == F.col(key))
+    named = lambda rows, name: bounded(stored(rows.select(F.col("doc_id").alias(doc), F.col("own").alias(key)), name))
+    left = hashed.join(named(judged.where("not stays"), "judged-gone"), at, "left_anti")
+    repeated = judged.where("stays and n > 1")
+    if not repeated.isEmpty():
+        twice = named(repeated, "judged-repeated")
+        left = left.join(twice, at, "left_anti").unionByName(left.join(twice, at, "left_semi").dropDuplicates(["doc_id", own]))
+    return left.drop(own)

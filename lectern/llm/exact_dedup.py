@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from .common import ascii_lower, bounded, free, stored, text_or_empty
+from .common import ascii_lower, bounded, keep_judged, stored, text_or_empty
 
 #: Characters whose hash refines a group of equal lengths.
 PREFIX_CHARS = 64
@@ -73,17 +73,7 @@ def drop_duplicates(docs: DataFrame, prefix_chars: int = PREFIX_CHARS) -> DataFr
     groups = stored(counted.groupBy("text_sha256").agg(best, F.sum("n").alias("group_size")).where("group_size > 1"), "dedup-groups")
     kept = F.col("doc_id").eqNullSafe(F.col("best.doc_id")) & (F.col("own") == F.col("best.own"))
     judged = counted.join(bounded(groups), "text_sha256").withColumn("stays", kept)
-    doc, key = free(docs, "gone_doc", "gone_key")
-    at = lambda: F.col("doc_id").eqNullSafe(F.col(doc)) & (F.xxhash64(text_or_empty()) == F.col(key))
-    named = lambda rows, name: bounded(stored(rows.select(F.col("doc_id").alias(doc), F.col("own").alias(key)), name))
-    left = docs.join(named(judged.where("not stays"), "dedup-gone"), at(), "left_anti")
-    repeated = judged.where("stays and n > 1")
-    if repeated.isEmpty():
-        return left
-    twice = named(repeated, "dedup-repeated")
-    digest = free(docs, "once_key")[0]
-    once = left.join(twice, at(), "left_semi").withColumn(digest, F.xxhash64(text_or_empty())).dropDuplicates(["doc_id", digest]).drop(digest)
-    return left.join(twice, at(), "left_anti").unionByName(once)
+    return keep_judged(docs, judged)
 
 
 def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

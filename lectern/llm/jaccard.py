@@ -1,30 +1,21 @@
-"""Links of texts by the Jaccard similarity of their sets of shingles: MinHash bands find candidates, whole sets decide."""
+"""Sets of shingles: their hashes, sketches that rule pairs out, and the exact Jaccard similarity of pairs."""
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import partial, reduce
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F
 
-from .common import bounded, cut, stored
-from .components import components
+from .common import bounded, cut, stored, text_or_empty
 
 SEED = 42
-#: Bands of a signature and minima of each. A pair of similarity s shares no band with probability (1 - s^5)^24: 7e-5 at 0.8, 2e-9 at 0.9.
-BANDS, ROWS = 24, 5
-#: Rounds in which each text is compared with one text of each of its bands, before all pairs between groups are.
-STARS = 2
 #: Bits of a set's parities, in words of 64: bit i tells whether an odd number of its hashes begins with i.
 ODD_WORDS = 8
-#: Shingles whose minima are taken at once.
-BLOCK = 4096
 
 _FOLD = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
-_RNG = np.random.default_rng(SEED)
-_FACTORS, _TERMS = (_RNG.integers(0, 1 << 64, BANDS * ROWS, np.uint64) | np.uint64(1))[:, None], _RNG.integers(0, 1 << 64, BANDS * ROWS, np.uint64)[:, None]
 
 
 def shingles(text: str | None, words: int) -> np.ndarray:
@@ -36,17 +27,6 @@ def shingles(text: str | None, words: int) -> np.ndarray:
     return np.unique(np.fromiter(map(partial(xxh64_intdigest, seed=SEED), map(b" ".join, zip(*parts, strict=False))), np.uint64))
 
 
-def bands(hashes: np.ndarray) -> list[int]:
-    """One key per band, as signed longs; none for a text without words."""
-    from xxhash import xxh64_intdigest
-
-    if not len(hashes):
-        return []
-    least = reduce(np.minimum, ((_FACTORS * hashes[at : at + BLOCK] + _TERMS).min(1) for at in range(0, len(hashes), BLOCK)))
-    keys = [xxh64_intdigest(least[i * ROWS : (i + 1) * ROWS].tobytes(), seed=i) for i in range(BANDS)]
-    return np.array(keys, np.uint64).view(np.int64).tolist()
-
-
 def node_of(hashes: np.ndarray) -> int:
     from xxhash import xxh64_intdigest
 
@@ -59,21 +39,12 @@ def parities(hashes: np.ndarray) -> list[int]:
     return np.packbits(odd.astype(np.uint8), bitorder="little").view("<i8").tolist()
 
 
-def signatures(docs: DataFrame, words: int) -> DataFrame:
-    """doc_id, text_key, node (texts with equal sets share it), size, odd (parities) and keys (bands) of its set per row."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            sets = [shingles(t.as_py(), words) for t in b.column("text")]
-            made = [pa.array(map(node_of, sets), pa.int64()), pa.array(map(len, sets), pa.int32()), *(pa.array(map(f, sets), pa.list_(pa.int64())) for f in (parities, bands))]
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("text_key"), *made], names=["doc_id", "text_key", "node", "size", "odd", "keys"])
+def verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, words: int, similarity: float) -> DataFrame:
+    """The pairs a, b of ``nodes`` (node, text_key) whose whole sets have that Jaccard similarity or more.
 
-    text = F.col("text").cast("string")
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("text_key"), text.alias("text")).mapInArrow(run, "doc_id long, text_key long, node long, size int, odd array<long>, keys array<long>")
-
-
-def _verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, words: int, similarity: float) -> DataFrame:
-    """The pairs a, b whose sets have that similarity. Sets are made again, for one text of each node in a pair."""
+    Sets are made again, for one text of each node in a pair. They travel once to each pair of a node, so a caller
+    gives few pairs a node.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -81,47 +52,11 @@ def _verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, words: int, s
             yield pa.RecordBatch.from_arrays([b.column("node"), pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64()))], names=["node", "found"])
 
     pairs = cut(pairs.distinct())
-    ends = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct()
-    wanted = bounded(cut(nodes.select("node", "text_key").join(ends, "node")))
-    text = F.col("text").cast("string")
-    texts = docs.select(F.xxhash64(text).alias("text_key"), text.alias("text")).join(wanted, "text_key").select("node", "text").dropDuplicates(["node"])
+    ends = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    wanted = bounded(stored(nodes.select("node", "text_key").join(ends, "node"), "near-wanted"))
+    texts = docs.select(F.xxhash64(text_or_empty()).alias("text_key"), text_or_empty().alias("text")).join(wanted, "text_key").select("node", "text").dropDuplicates(["node"])
     sets = stored(texts.mapInArrow(run, "node long, found array<long>"), "near-sets")
     for end in ("a", "b"):
         pairs = pairs.join(sets.select(F.col("node").alias(end), F.col("found").alias(f"found_{end}")), end)
     both = F.size(F.array_intersect("found_a", "found_b"))
     return cut(pairs.where(both / (F.size("found_a") + F.size("found_b") - both) >= similarity).select("a", "b"))
-
-
-def links(nodes: DataFrame, docs: DataFrame, words: int, similarity: float) -> DataFrame:
-    """Links a, b of nodes (node, text_key, size, odd, keys) whose sets have that similarity or more, and which join all of
-    them that share a band.
-
-    First each node is compared with one node of each of its bands, ``STARS`` times with other nodes; that contracts
-    large groups of near copies. Then all pairs of different groups in a band are compared, so a group's own pairs are
-    never rows. Pairs that cannot have the similarity, as their sizes or parities prove, are not compared further;
-    the others are decided on whole sets.
-    """
-    seen = nodes.select(F.col("node").alias("id"), F.explode("keys").alias("key"))
-    seen = seen.join(seen.groupBy("key").count().where("count > 1").select("key"), "key", "left_semi")
-    seen = cut(seen.join(nodes.select(F.col("node").alias("id"), "size", "odd"), "id"))
-    apart = reduce(Column.__add__, [F.bit_count(F.col("odd")[i].bitwiseXOR(F.col("odd_b")[i])) for i in range(ODD_WORDS)])
-    fits = (F.least("size", "size_b") / F.greatest("size", "size_b") >= similarity) & (apart * (1 + similarity) <= (F.col("size") + F.col("size_b")) * (1 - similarity) + 1e-6)
-    pair = (F.least("id", "b").alias("a"), F.greatest("id", "b").alias("b"))
-    grouped, found = seen.withColumn("group", F.col("id")), None
-    for i in range(STARS + 1):
-        if i < STARS:
-            pick = grouped.groupBy("key").agg(F.min(F.struct(F.xxhash64(F.lit(i), "id").alias("order"), "id", "size", "odd", "group")).alias("c"))
-            other = pick.select("key", F.col("c.id").alias("b"), F.col("c.size").alias("size_b"), F.col("c.odd").alias("odd_b"), F.col("c.group").alias("group_b"))
-            asked = grouped
-        else:  # of the largest group in a band, no pair is looked at
-            largest = grouped.groupBy("key", "group").count().groupBy("key").agg(F.max_by("group", "count").alias("_most"), F.count("*").alias("_groups"))
-            grouped = cut(grouped.join(largest.where("_groups > 1"), "key"))
-            asked = grouped.where("group != _most")
-            other = grouped.select("key", F.col("id").alias("b"), F.col("size").alias("size_b"), F.col("odd").alias("odd_b"), F.col("group").alias("group_b"))
-        pairs = asked.join(other, "key").where((F.col("group") != F.col("group_b")) & fits).select(*pair)
-        new = _verified(pairs, nodes, docs, words, similarity)
-        found = new if found is None else found.unionByName(new)
-        if i < STARS:
-            roots = components(found).select(F.col("node").alias("id"), "root")
-            grouped = cut(seen.join(roots, "id", "left").select("id", "size", "odd", "key", F.coalesce("root", "id").alias("group")))
-    return found

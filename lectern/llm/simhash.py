@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from . import jaccard
-from .common import bounded, cut, stored
+from .common import bounded, cut, keep_judged, stored, text_or_empty
 from .components import components
 
 BITS, SEED = 64, 42
@@ -19,6 +19,8 @@ BITS, SEED = 64, 42
 WORDS, MAX_BITS, SEGMENTS = 3, 3, 2
 #: Shingles whose bits are added up at once.
 BLOCK = 32_768
+#: Hashes of a set whose mixed bits are added up at once.
+SET_BLOCK = 4_096
 
 _FOLD = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 
@@ -100,119 +102,204 @@ def near_groups(docs: DataFrame, words: int = WORDS, max_bits: int = MAX_BITS, s
     linked = nodes.join(roots, "fp")
     least = linked.groupBy("root").agg(F.min("least").alias("component_id"))
     linked = linked.join(least, "root").select("fp", F.col("component_id").alias("_linked"))
-    ids = nodes.join(linked, "fp", "left").select("fp", F.coalesce("_linked", "least").alias("component_id"))
+    ids = stored(nodes.join(linked, "fp", "left").select("fp", F.coalesce("_linked", "least").alias("component_id")), "fingerprint-ids")
     return rows.join(ids, "fp").select("doc_id", "fp", "component_id")
 
 
-#: Longer fingerprints for a stated similarity: words of 64 bits, segments of each, and their values' ball.
-LONGS, PARTS, RADIUS = 4, 3, 1
-#: A segment's value is crowded from so many times the usual number of nodes on.
-CROWD = 4
-#: Odd multipliers that make further hashes of a shingle from its first. Fixed values.
-MIXERS = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93)
+#: Shares of links that the candidate search may miss, at the stated similarity itself (above it misses fall fast).
+LOSS = 0.002
+#: Least width of a segment; from 2**(WIDTH + 3) rows on a segment is a bit wider for each doubling, so that chance meetings do not grow.
+WIDTH = 16
+#: Rounds in which each text is compared with one text of each of its values, before all pairs between groups are.
+STARS = 2
+#: A segment's value is crowded from so many texts on.
+CROWD = 32
 
 
-def long_fingerprint(text: str | None, words: int) -> list[int]:
-    """``LONGS`` times 64 majority bits over all shingles, as signed longs; zeros for a text without words."""
-    from xxhash import xxh64_intdigest
+def flip_share(similarity: float) -> float:
+    """Share of bits in which fingerprints of sets of that Jaccard similarity differ: angle / pi, where sets of equal
+    size have cosine 2s / (1 + s) and others a larger one."""
+    return float(np.arccos(2 * similarity / (1 + similarity)) / np.pi)
 
-    tokens = (text or "").encode().translate(_FOLD).split()
-    if not tokens:
-        return [0] * LONGS
-    n, width, hashed = max(1, len(tokens) - words + 1), min(words, len(tokens)), partial(xxh64_intdigest, seed=SEED)
-    counts = np.zeros(BITS * LONGS, np.int64)
-    for at in range(0, n, BLOCK):
-        part = tokens[at : min(n, at + BLOCK) + width - 1]
-        h = np.fromiter(map(hashed, map(b" ".join, zip(*(part[i:] for i in range(width)), strict=False))), np.uint64)
-        mixed = np.empty((len(h), LONGS), "<u8")
-        for i, m in enumerate(MIXERS):
-            x = (h ^ (h >> np.uint64(29 + i))) * np.uint64(m)
-            mixed[:, i] = x ^ (x >> np.uint64(32))
-        counts += np.add.reduce(np.unpackbits(mixed.view(np.uint8), axis=1, bitorder="little"), axis=0, dtype=np.uint16)
-    return np.packbits((2 * counts > n).astype(np.uint8), bitorder="little").view("<i8").tolist()
+
+def scheme(rows: int, similarity: float, loss: float = LOSS) -> tuple[int, int]:
+    """(segments, width): as many segments as make a pair of that similarity meet within one bit in one of them, but for
+    a share of ``loss``."""
+    width = max(WIDTH, rows.bit_length() - 3)
+    p = flip_share(similarity)
+    meet = (1 - p) ** width + width * p * (1 - p) ** (width - 1)
+    return max(1, int(np.ceil(np.log(loss) / np.log1p(-meet)))) if p else 1, width
 
 
-def distance_limit(similarity: float) -> int:
-    """Bits in which long fingerprints of that Jaccard similarity differ: the mean and 1.5 standard deviations.
+def set_fingerprint(hashes: np.ndarray, words: int) -> list[int]:
+    """``words`` times 64 majority bits over a set of 64-bit hashes, each counted once, as signed longs. Zeros for none.
 
-    Shingle counts of similarity s have cosine 2s / (1 + s) where shingles do not repeat; each bit differs with
-    probability angle / pi.
+    Each further 64 bits mix the hashes with odd multipliers of their own.
     """
-    bits = BITS * LONGS
-    share = float(np.arccos(2 * similarity / (1 + similarity)) / np.pi)
-    return round(bits * share + 1.5 * (bits * share * (1 - share)) ** 0.5)
-
-
-def similar_links(nodes: DataFrame, limit: int) -> DataFrame:
-    """Links a, b that join all nodes (node, fp array) whose long fingerprints differ in ``limit`` bits or fewer.
-
-    ``LONGS * PARTS`` segments of 21 or 22 bits. First each node is compared with the least node of equal value in
-    each segment, at most ``LONGS * PARTS`` comparisons a node; that contracts large groups of near copies. Then, as in
-    ``near_pairs``, every segment's ball of radius one is looked up, but only what meets between different groups is
-    kept, so a group's own pairs are never rows. What meets is first compared over the first 64 bits, which travel with
-    it, then over all. At values that ``CROWD`` times the usual number of nodes or more share (texts around one common
-    passage), whole fingerprints travel and the lookup itself compares them, so what meets there without a link is no
-    row either; at the others a lookup meets fewer than that many. A pair that differs in ``limit`` bits may miss the ball of every segment: at a similarity of 0.8
-    about one in seven does, at 0.9 one in a hundred.
+    if not len(hashes):
+        return [0] * words
+    counts, factors = np.zeros(BITS * words, np.int64), (np.random.default_rng(SEED).integers(0, 1 << 63, words, np.uint64) << np.uint64(1)) | np.uint64(1)
+    for at in range(0, len(hashes), SET_BLOCK):
+        h = hashes[at : at + SET_BLOCK, None]
+        mixed = (h ^ (h >> np.uint64(31))) * factors
+        mixed ^= mixed >> np.uint64(32)
+        counts += np.add.reduce(np.unpackbits(mixed.astype("<u8").view(np.uint8), axis=1, bitorder="little"), axis=0, dtype=np.uint16)
+    return np.packbits((2 * counts > len(hashes)).astype(np.uint8), bitorder="little").view("<i8").tolist()
+
+
+def signatures(docs: DataFrame, words: int, longs: int) -> DataFrame:
+    """doc_id, text_key (XXH64 of the text), node (texts with equal shingle sets share it), size, odd (parities) and fp of its set per row."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            sets = [jaccard.shingles(t.as_py(), words) for t in b.column("text")]
+            lists = (pa.array(map(f, sets), pa.list_(pa.int64())) for f in (jaccard.parities, partial(set_fingerprint, words=longs)))
+            made = [pa.array(map(jaccard.node_of, sets), pa.int64()), pa.array(map(len, sets), pa.int32()), *lists]
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("text_key"), *made], names=["doc_id", "text_key", "node", "size", "odd", "fp"])
+
+    text = text_or_empty()
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("text_key"), text.alias("text")).mapInArrow(run, "doc_id long, text_key long, node long, size int, odd array<long>, fp array<long>")
+
+
+def _apart(column: str, words: int) -> Column:
+    return reduce(Column.__add__, [F.bit_count(F.col(f"{column}_a")[i].bitwiseXOR(F.col(f"{column}_b")[i])) for i in range(words)])
+
+
+class Similar:
+    """Links between nodes (node, size, odd, fp, text_key) whose sets have a Jaccard similarity, by multi-index hashing.
+
+    A fingerprint's segments each have a table. Sizes of sets that similar differ by that factor at most, so a table's
+    key is a segment's value and a class of sizes, and an entry stands under its own class and both neighbours.
     """
-    edges = [BITS * i // PARTS for i in range(PARTS + 1)]
-    keys = F.array(*[(_key(F.col("fp")[i], lo, hi - lo) + F.lit((i * PARTS + j) << 32)) for i in range(LONGS) for j, (lo, hi) in enumerate(zip(edges, edges[1:], strict=False))])
-    widest = max(hi - lo for lo, hi in zip(edges, edges[1:], strict=False))
-    masks = F.array(F.lit(0).cast("long"), *[F.lit(1 << i).cast("long") for i in range(widest)])
-    share = limit / (BITS * LONGS)
-    near = F.bit_count(F.col("head_a").bitwiseXOR(F.col("head_b"))) <= round(BITS * share + 4 * (BITS * share * (1 - share)) ** 0.5)
-    apart = reduce(Column.__add__, [F.bit_count(F.col("fp_a")[i].bitwiseXOR(F.col("fp_b")[i])) for i in range(LONGS)])
-
-    def verified(pairs: DataFrame, of: DataFrame) -> DataFrame:
+
+    def __init__(self, nodes: DataFrame, docs: DataFrame, words: int, similarity: float, segments: int, width: int, longs: int):
+        self.nodes, self.docs, self.words, self.similarity, self.segments, self.width = nodes, docs, words, similarity, segments, width
+        share = flip_share(similarity)
+        limit = lambda bits: round(bits * share + 4.5 * (bits * share * (1 - share)) ** 0.5)
+        a, b = F.col("size_a"), F.col("size_b")
+        #: over the first 64 bits, which travel with every row; over all bits, and what sizes and parities prove
+        self.near = F.bit_count(F.col("head_a").bitwiseXOR(F.col("head_b"))) <= limit(BITS)
+        proved = (F.least(a, b) >= similarity * F.greatest(a, b)) & (_apart("odd", jaccard.ODD_WORDS) * (1 + similarity) <= (a + b) * (1 - similarity) + 1e-6)
+        self.fits = (_apart("fp", longs) <= limit(BITS * longs)) & proved
+        self.plain = nodes.where("size > 0").select(F.col("node").alias("id"), F.col("fp")[0].alias("head"), "fp", "size", "odd")
+
+    def values(self) -> Column:
+        """Array of a long per segment: its number, a place for the class of sizes, its bits."""
+        found = []
+        for i in range(self.segments):
+            at, off = divmod(i * self.width, BITS)
+            bits = F.shiftrightunsigned(F.col("fp")[at], off)
+            if off + self.width > BITS:
+                bits = bits.bitwiseOR(F.shiftleft(F.col("fp")[at + 1], BITS - off))
+            found.append(bits.bitwiseAND(F.lit((1 << self.width) - 1)) + F.lit(i << 52))
+        return F.array(*found)
+
+    def size_class(self) -> Column:
+        """Sizes within the similarity of each other are in one class or in neighbours; a hair wider, against rounding."""
+        return F.floor(F.log(F.col("size")) / float(-np.log(self.similarity) * 1.0001)).cast("long") if self.similarity < 1 else F.lit(0).cast("long")
+
+    def ends(self, pairs: DataFrame) -> DataFrame:
+        """Pairs a, b that may have the similarity, as their whole fingerprints, sizes and parities say."""
         for end in ("a", "b"):
-            pairs = pairs.join(of.select(F.col("id").alias(end), F.col("head").alias(f"head_{end}"), F.col("fp").alias(f"fp_{end}")), [end, f"head_{end}"])
-        return pairs.where(apart <= limit).select("a", "b").distinct()
-
-    plain = nodes.select(F.col("node").alias("id"), F.col("fp")[0].alias("head"), "fp")
-    seen = plain.select("id", "head", F.explode(keys).alias("key"))
-    least = seen.groupBy("key").agg(F.min(F.struct("id", "head")).alias("c")).select("key", F.col("c.id").alias("b"), F.col("c.head").alias("head_b"))
-    met = seen.select(F.col("id").alias("a"), F.col("head").alias("head_a"), "key").join(least, "key").where(near & (F.col("a") != F.col("b")))
-    star = cut(verified(met.drop("key").distinct(), plain))
-    roots = components(star).select(F.col("node").alias("id"), "root")
-    grouped = cut(plain.join(roots, "id", "left").select(F.coalesce("root", "id").alias("id"), "head", "fp"))
-
-    ways = grouped.select("id", "head", "fp", F.explode(keys).alias("key"))
-    ball = F.filter(masks, lambda m: F.col("key").bitwiseAND(m) == 0)
-    asked = ways.select(F.col("id").alias("a"), F.col("head").alias("head_a"), F.col("fp").alias("fp_a"), F.col("key").alias("own"), F.explode(ball).alias("mask"))
-    asked = asked.select("a", "head_a", "fp_a", F.col("own").bitwiseXOR(F.col("mask")).alias("key"))
-    table = ways.select(F.col("id").alias("b"), F.col("head").alias("head_b"), F.col("fp").alias("fp_b"), "key")
-    usual = 1 + grouped.count() // (1 << BITS // PARTS)
-    crowded = bounded(cut(table.groupBy("key").count().where(F.col("count") >= CROWD * usual).select("key")))
-    other = near & (F.col("a") != F.col("b"))
-    met = asked.drop("fp_a").join(table.drop("fp_b").join(crowded, "key", "left_anti"), "key").where(other)
-    linked = asked.join(crowded, "key", "left_semi").join(table.join(crowded, "key", "left_semi"), "key").where(other & (apart <= limit))
-    return star.unionByName(verified(met.drop("key").distinct(), grouped)).unionByName(linked.select("a", "b").distinct())
+            pairs = pairs.join(self.plain.select(F.col("id").alias(end), *[F.col(c).alias(f"{c}_{end}") for c in ("fp", "size", "odd")]), end)
+        return pairs.where(self.fits)
+
+    def checked(self, pairs: DataFrame) -> DataFrame:
+        return jaccard.verified(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), self.nodes, self.docs, self.words, self.similarity)
+
+    def stars(self) -> tuple[DataFrame, DataFrame]:
+        """(links, id and group): each node is compared with one node of each of its values, ``STARS`` times with
+        others, and decided with the nearest of another group. That contracts large groups of near copies."""
+        key = lambda v: v + F.shiftleft(self.size_class(), 40)
+        seen = stored(self.plain.select("id", "head", F.explode(F.transform(self.values(), key)).alias("key")), "near-values")
+        groups, found = self.plain.select("id", F.col("id").alias("group")), None
+        for i in range(STARS):
+            of = seen.join(groups, "id")
+            pick = of.groupBy("key").agg(F.min(F.struct(F.xxhash64(F.lit(i), "id").alias("order"), "id", "head", "group")).alias("c"), F.count("*").alias("n")).where("n > 1")
+            pick = stored(pick.select("key", F.col("c.id").alias("b"), F.col("c.head").alias("head_b"), F.col("c.group").alias("group_b")), "near-centres")
+            met = of.withColumnsRenamed({"id": "a", "head": "head_a"}).join(pick, "key").where(self.near & (F.col("group") != F.col("group_b")))
+            nearest = self.ends(met.select("a", "b").distinct()).groupBy("a").agg(F.min(F.struct(F.bit_count(F.col("fp_a")[0].bitwiseXOR(F.col("fp_b")[0])).alias("apart"), "b")).alias("c"))
+            new = self.checked(nearest.select("a", F.col("c.b").alias("b")))
+            found = new if found is None else found.unionByName(new)
+            roots = components(found).select(F.col("node").alias("id"), "root")
+            groups = stored(self.plain.select("id").join(roots, "id", "left").select("id", F.coalesce("root", "id").alias("group")), "near-groups")
+        return found, groups
+
+    def links(self) -> DataFrame:
+        """Links a, b that join all nodes whose sets have the similarity, but for ``LOSS``.
+
+        After ``stars``, each value's ball of radius one is looked up; of two values the one with a zero at the
+        differing bit looks. Only what meets between different groups is kept, so a group's own pairs are never rows. What
+        meets is compared over the first 64 bits, which travel with it, then over all. At values that ``CROWD`` nodes
+        or more share (near copies of one text, texts around a common passage), whole fingerprints travel and the lookup
+        itself compares them; there, nodes of the value's largest group do not look at that group. What is left is decided on whole sets.
+        """
+        star, groups = self.stars()
+        plain = self.plain.join(groups, "id")
+        rows = plain.select("id", "head", "group", self.size_class().alias("class"), F.explode(self.values()).alias("value"))
+        put = lambda v, c: (v + F.shiftleft(c, 40)).alias("key")
+        around = F.explode(F.array(*[F.col("class") + i for i in (-1, 0, 1)])).alias("of")
+        table = rows.select("id", "head", "group", "value", around).where("of >= 0").select("id", "head", "group", put(F.col("value"), F.col("of")))
+        masks = F.array(F.lit(0).cast("long"), *[F.lit(1 << i).cast("long") for i in range(self.width)])
+        ball = F.explode(F.filter(masks, lambda m: F.col("value").bitwiseAND(m) == 0)).alias("mask")
+        asked = rows.select("id", "head", "group", "class", "value", ball).select("id", "head", "group", put(F.col("value").bitwiseXOR(F.col("mask")), F.col("class")))
+        table, crowded = stored(table, "near-table"), None
+        crowded = stored(table.groupBy("key").count().where(F.col("count") >= CROWD).select("key"), "near-crowded")
+        most = table.join(bounded(crowded), "key", "left_semi").groupBy("key", "group").count().groupBy("key").agg(F.max_by("group", F.struct("count", "group")).alias("most"))
+        most = bounded(stored(most, "near-most"))
+
+        name = lambda df, end: df.withColumnsRenamed({"id": end, "head": f"head_{end}", "group": f"group_{end}"})
+        few = bounded(crowded)
+        other = self.near & (F.col("group_a") != F.col("group_b"))
+        met = name(asked.join(few, "key", "left_anti"), "a").join(name(table.join(few, "key", "left_anti"), "b"), "key").where(other)
+        pairs = self.ends(met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()).select("a", "b")
+
+        whole = lambda df, end: df.join(self.plain.select("id", *[F.col(c).alias(f"{c}_{end}") for c in ("fp", "size", "odd")]), "id")
+        looks = F.explode(F.when(F.col("group") == F.col("most"), F.array(F.lit(False))).otherwise(F.array(F.lit(False), F.lit(True)))).alias("big")
+        left = name(whole(asked.join(most, "key").select("id", "head", "group", "key", looks), "a"), "a")
+        right = name(whole(table.join(most, "key").select("id", "head", "group", "key", (F.col("group") == F.col("most")).alias("big")), "b"), "b")
+        dense = left.join(right, ["key", "big"]).where(other & self.fits).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+        return star.unionByName(self.checked(pairs.unionByName(dense)))
+
+
+def _similar(docs: DataFrame, words: int, similarity: float) -> tuple[DataFrame, DataFrame]:
+    """(rows as doc_id, text_key, node; node, root, least for every node)."""
+    segments, width = scheme(docs.count(), similarity)
+    longs = -(-segments * width // BITS)
+    rows = stored(signatures(docs, words, longs), "signatures")
+    nodes = rows.groupBy("node").agg(F.min("doc_id").alias("least"), F.min(F.struct("text_key", "size", "odd", "fp")).alias("c"))
+    nodes = stored(nodes.select("node", "least", "c.*"), "near-nodes")
+    roots = stored(components(Similar(nodes, docs, words, similarity, segments, width, longs).links()), "near-roots")
+    ids = nodes.select("node", "least").join(roots, "node", "left").select("node", "least", F.coalesce("root", "node").alias("root"))
+    return rows.select("doc_id", "text_key", "node"), stored(ids, "near-ids")
 
 
 def similar_groups(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFrame:
     """doc_id, text_key (XXH64 of the text) and component_id per row: the smallest doc_id reachable over links of the similarity or more.
 
-    The similarity is that of the sets of ``words``-word shingles of the whole texts, see ``jaccard``. Equal sets are
-    one node; nulls, repeated rows and empty tables as in ``near_groups``.
+    The similarity is that of the sets of ``words``-word shingles of the whole texts. Candidates come from SimHash
+    fingerprints of the sets, as long as ``scheme`` asks, by multi-index hashing (see ``Similar``); every link is decided
+    on whole sets, so texts below the similarity are never linked directly. Equal sets are one node (texts without words
+    too); a component of null ids only has id null; repeated rows are kept; no rows give no rows.
     """
-    rows = stored(jaccard.signatures(docs, words), "signatures")
-    nodes = cut(rows.groupBy("node").agg(F.min("doc_id").alias("least"), F.min(F.struct("text_key", "size", "odd", "keys")).alias("c")).select("node", "least", "c.*"))
-    roots = cut(components(jaccard.links(nodes, docs, words, similarity)))
-    linked = nodes.select("node", "least").join(roots, "node")
-    linked = linked.join(linked.groupBy("root").agg(F.min("least").alias("_linked")), "root").select("node", "_linked")
-    ids = nodes.select("node", "least").join(linked, "node", "left").select("node", F.coalesce("_linked", "least").alias("component_id"))
-    return rows.select("doc_id", "text_key", "node").join(ids, "node").select("doc_id", "text_key", "component_id")
+    rows, ids = _similar(docs, words, similarity)
+    least = ids.groupBy("root").agg(F.min("least").alias("component_id"))
+    return rows.join(stored(ids.join(least, "root").select("node", "component_id"), "near-components"), "node").select("doc_id", "text_key", "component_id")
 
 
 def drop_near_duplicates(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFrame:
-    """``docs`` with one document of each group: the one whose doc_id names the component. All columns are kept.
+    """``docs`` with one row of each group of ``similar_groups``: the one with the smallest doc_id, null last, then the
+    smallest hash of its text. All columns are kept.
 
-    Rows with a null doc_id belong to no group here and stay; rows repeated under the kept doc_id all stay.
-    A row goes by its doc_id and text, so another text under the same doc_id stays.
+    A row goes by its doc_id and text, so another text under the same doc_id stays; of rows that share both one
+    stays; rows without a doc_id belong to groups like others.
     """
-    groups = similar_groups(docs, words, similarity)
-    gone = stored(groups.where("doc_id != component_id").select(F.col("doc_id").alias("_gone"), "text_key").distinct(), "near-gone")
-    return docs.join(bounded(gone), (F.col("doc_id") == F.col("_gone")) & (F.xxhash64(F.col("text").cast("string")) == gone["text_key"]), "left_anti")
+    rows, ids = _similar(docs, words, similarity)
+    counted = rows.join(ids.select("node", "root"), "node").groupBy("root", "doc_id", F.col("text_key").alias("own")).agg(F.count("*").alias("n"))
+    counted = stored(counted, "near-counted")
+    first = counted.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "own")).alias("best"), F.sum("n").alias("all")).where("all > 1")
+    stays = F.col("doc_id").eqNullSafe(F.col("best.doc_id")) & (F.col("own") == F.col("best.own"))
+    return keep_judged(docs, counted.join(bounded(stored(first, "near-first")), "root").withColumn("stays", stays))
 
 
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

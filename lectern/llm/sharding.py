@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
-from .common import bounded, text_or_empty
+from .common import bounded, free, stored, text_or_empty
 
 #: Multiplier of the published generator, as 32-bit halves; the low half again as 16-bit halves. Fixed values.
 HIGH, LOW_1, LOW_0 = 0x27BB2EE6, 0x87B0, 0xB0FD
 MASK = 0xFFFFFFFF
 #: Rows that one task numbers.
 SLOT_ROWS = 50_000
+#: Steps beyond the usual number that every key walks.
+FEW = 4
 
 
 def key_halves(key: Column) -> tuple[Column, Column]:
@@ -31,7 +34,8 @@ def jump(high: Column, low: Column, shards: int) -> Column:
     """Struct (shard, grown): the key's bucket among ``shards`` and among one more.
 
     The key's jumps do not depend on the shard count, so one walk serves both: the shard is the last bucket
-    reached below the count. It ends after about ln(shards) + 1 jumps; later steps only test that.
+    reached below the count. It ends after about ln(shards) + 1 jumps; ``FEW`` steps more are walked by all keys, and
+    the many that a key may need at worst only by those that have not ended by then.
     """
     zero = F.lit(0).cast("long")
     start = F.struct(high.alias("h"), low.alias("l"), zero.alias("j"), zero.alias("shard"), zero.alias("grown"))
@@ -41,8 +45,11 @@ def jump(high: Column, low: Column, shards: int) -> Column:
         j = F.floor((s["j"] + 1).cast("double") * (F.lit(2147483648.0) / (F.shiftright(h, 1) + 1).cast("double"))).cast("long")
         return F.when(s["j"] > shards, s).otherwise(F.struct(h.alias("h"), l.alias("l"), j.alias("j"), F.when(s["j"] < shards, s["j"]).otherwise(s["shard"]).alias("shard"), s["j"].alias("grown")))
 
-    end = F.aggregate(F.sequence(F.lit(0), F.lit(shards)), start, step)
-    return F.struct(end["shard"].cast("int").alias("shard"), end["grown"].cast("int").alias("grown"))
+    walk = lambda s, n: F.aggregate(F.sequence(F.lit(1), F.lit(n)), s, step)
+    first = min(shards + 1, round(np.log(shards)) + FEW)
+    # bound to a name by a list of one, so that the first steps are not computed again by each use
+    end = F.transform(F.array(walk(start, first)), lambda s: F.when(s["j"] > shards, s).otherwise(walk(s, shards + 1 - first)) if shards + 1 > first else s)[0]
+    return F.transform(F.array(end), lambda s: F.struct(s["shard"].cast("int").alias("shard"), s["grown"].cast("int").alias("grown")))[0]
 
 
 def assign(rows: DataFrame, shards: int, key: str = "doc_id") -> DataFrame:
@@ -52,22 +59,37 @@ def assign(rows: DataFrame, shards: int, key: str = "doc_id") -> DataFrame:
     """
     if shards < 1:
         raise ValueError("at least one shard")
-    return rows.withColumn("_jump", jump(*key_halves(F.col(key)), shards)).withColumns({"shard": F.col("_jump.shard"), "grown_shard": F.col("_jump.grown")}).drop("_jump")
+    walked = free(rows, "walked")[0]
+    return rows.withColumn(walked, jump(*key_halves(F.col(key)), shards)).withColumns({"shard": F.col(f"{walked}.shard"), "grown_shard": F.col(f"{walked}.grown")}).drop(walked)
 
 
 def number(rows: DataFrame, n_rows: int, key: str, ties: list[str], slot_rows: int = SLOT_ROWS) -> DataFrame:
     """Adds slot: gapless from 0 within each shard, by the key's hash, then the key, then ``ties``.
 
     Leading bits of the hash cut every shard into ranges of about ``slot_rows`` rows; ranges are counted first
-    (from the key alone), each is numbered by its own task from the sum of those before it.
+    (from the key alone), each is numbered by its own task from the sum of those before it. Rows of a key (null, say)
+    that more than ``slot_rows`` rows share come last in their shard, and are cut into ranges by a hash of the ties.
+    Rows that are equal in the key and all ties may have each other's numbers. A column called slot is replaced; no rows give no rows.
     """
+    high, low, part, at, before, n, sort, own = free(rows, "key_high", "key_low", "range", "at", "before", "n", "tie_hash", "own_key")
     h, l = key_halves(F.col(key))
     bits = max(0, int(n_rows // slot_rows).bit_length())
-    ranged = rows.withColumn("_h", h).withColumn("_l", l).withColumn("_range", F.shiftright("_h", 32 - bits).cast("int"))
-    before = Window.partitionBy("shard").orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
-    sums = ranged.groupBy("shard", "_range").agg(F.count("*").alias("_n")).withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0))).select("shard", "_range", "_before")
-    own = Window.partitionBy("shard", "_range").orderBy("_h", "_l", key, *ties)
-    return ranged.withColumn("_at", F.row_number().over(own)).join(bounded(sums), ["shard", "_range"]).withColumn("slot", (F.col("_before") + F.col("_at") - 1).cast("long")).drop("_h", "_l", "_range", "_at", "_before")
+    ranged = rows.drop("slot").withColumn(high, h).withColumn(low, l)
+    hot = ranged.groupBy(key).agg(F.count("*").alias(n)).where(F.col(n) > slot_rows).select(F.col(key).alias(own)) if n_rows > slot_rows else ranged.limit(0).select(F.col(key).alias(own))
+    hot = stored(hot, "shard-keys")  # fewer than n_rows / slot_rows rows
+    by_key = F.shiftright(high, 32 - bits)
+    if hot.isEmpty():
+        ranged = ranged.withColumn(sort, F.lit(0).cast("long")).withColumn(part, F.struct(F.lit(0).alias("late"), by_key.alias("at"), F.lit(0).cast("long").alias("key"), F.lit(0).cast("long").alias("tie")))
+    else:
+        ranged = ranged.join(bounded(hot.withColumn(n, F.lit(True))), F.col(key).eqNullSafe(F.col(own)), "left").drop(own)
+        late = F.coalesce(F.col(n), F.lit(False))
+        tied = F.when(late, F.shiftrightunsigned(F.xxhash64(*ties) if ties else F.lit(0).cast("long"), 32)).otherwise(0)
+        ranged = ranged.withColumn(sort, tied).withColumn(part, F.struct(F.when(late, 1).otherwise(0).alias("late"), F.when(late, F.col(high)).otherwise(by_key).alias("at"), F.when(late, F.col(low)).otherwise(0).alias("key"), F.shiftright(F.col(sort), 32 - bits).alias("tie"))).drop(n)
+    up_to = Window.partitionBy("shard").orderBy(part).rowsBetween(Window.unboundedPreceding, -1)
+    sums = ranged.groupBy("shard", part).agg(F.count("*").alias(n)).withColumn(before, F.coalesce(F.sum(n).over(up_to), F.lit(0))).select("shard", part, before)
+    order = Window.partitionBy("shard", part).orderBy(high, low, key, sort, *ties)
+    numbered = ranged.withColumn(at, F.row_number().over(order)).join(bounded(stored(sums, "shard-ranges")), ["shard", part])
+    return numbered.withColumn("slot", (F.col(before) + F.col(at) - 1).cast("long")).drop(high, low, part, at, before, sort)
 
 
 SHARDS = 40

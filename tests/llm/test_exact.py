@@ -91,7 +91,7 @@ def jump(key, shards):
     return b
 
 
-@pytest.mark.parametrize("shards", [1, 2, 40, 97])
+@pytest.mark.parametrize("shards", [1, 2, 3, 40, 97, 1000])
 def test_jump(spark, shards):
     rows = sharding.assign(spark.range(-50, 500).withColumnRenamed("id", "doc_id"), shards).collect()
     for r in rows:
@@ -111,6 +111,22 @@ def test_slots_are_gapless(spark):
     assert all(sorted(s) == list(range(len(s))) for s in slots.values())
 
 
+def test_slots_of_a_key_with_most_rows(spark):
+    """A third of the rows has no key: they come last in their shard, cut by their ties, and numbers stay gapless."""
+    rows = [(None if i % 3 == 0 else i, i) for i in range(3000)] + [(None, 0), (5, 5)]
+    table = spark.createDataFrame(rows, "doc_id long, size long").selectExpr("doc_id", "size", "size AS _range", "'x' AS `KEY_HIGH`", "1 AS at")
+    got = sharding.number(sharding.assign(table, 7), len(rows), "doc_id", ["size"], slot_rows=100)
+    assert set(table.columns) | {"shard", "grown_shard", "slot"} == set(got.columns)
+    got = got.collect()
+    assert sorted((str(r["doc_id"]), r["size"]) for r in got) == sorted((str(i), n) for i, n in rows)
+    slots = defaultdict(list)
+    for r in got:
+        slots[r["shard"]].append((r["slot"], r["doc_id"] is None))
+    for s in slots.values():
+        assert [at for at, _ in sorted(s)] == list(range(len(s)))
+        assert [late for _, late in sorted(s)] == sorted(late for _, late in s)
+
+
 def test_sharding_of_awkward_rows(docs, empty):
     assert sharding.number(sharding.assign(docs.select("doc_id"), 40), 12, "doc_id", []).count() == len(AWKWARD)
     assert sharding.number(sharding.assign(empty.select("doc_id"), 40), 0, "doc_id", []).count() == 0
@@ -243,15 +259,48 @@ def brute(vectors, k):
     return found
 
 
-@pytest.mark.parametrize(("block", "segment", "batch"), [(4, 30, 10), (64, 1000, 1000), (7, 50, 33)])
-def test_topk_equals_brute_force(spark, block, segment, batch):
+@pytest.mark.parametrize(("block", "segment", "most"), [(4, 30, 1), (64, 1000, 64 << 20), (7, 50, 200)])
+def test_topk_equals_brute_force(spark, monkeypatch, block, segment, most):
+    """Blocks, segments and parts of the bounds of several sizes; ``most`` bytes make the bounds go out in parts."""
+    monkeypatch.setattr(topk, "BOUNDS_BYTES", most)
     rng = random.Random(block)
     vectors = [(i * 3, [rng.randint(-3, 3) for _ in range(4)]) for i in range(120)]
     rows = spark.createDataFrame(vectors, "vec_id long, v array<long>")
-    found = topk.top_k(rows, rows, block=block, segment=segment, batch=batch)
+    found = topk.top_k(rows, rows, block=block, segment=segment)
     assert sorted(tuple(r) for r in found.select("query_id", "rank", "vec_id", "score").collect()) == sorted(brute(vectors, 5))
 
 
+@pytest.mark.parametrize("size", [1e5, 4e8, 3e9])
+def test_topk_of_large_components(spark, size):
+    """Scores beyond 2**53 are exact as long as they fit a long; one huge row among small ones too."""
+    rng = random.Random(int(size))
+    vectors = [(i, [int(rng.uniform(-size, size)) for _ in range(2)]) for i in range(60)] + [(99, [2**62, 0]), (100, [0, 1])]
+    rows = spark.createDataFrame(vectors, "vec_id long, v array<long>")
+    some = [v for v in vectors if v[0] % 7 == 0 or v[0] == 100] if size < 1e6 else [(100, [0, 1])]
+    asked = spark.createDataFrame([(i, [0, v[1]]) for i, v in some], "vec_id long, v array<long>")
+    got = sorted(tuple(r) for r in topk.top_k(rows, asked, k=5, block=8, segment=20).collect())
+    expected = []
+    for q, v in [(i, [0, v[1]]) for i, v in some]:
+        best = sorted((-sum(a * b for a, b in zip(v, w, strict=True)), c) for c, w in vectors if c != q)[:5]
+        expected += [(q, r + 1, c, -s) for r, (s, c) in enumerate(best)]
+    assert got == sorted(expected)
+    both = spark.createDataFrame([v for v in vectors if v[0] < 60], "vec_id long, v array<long>")
+    if size < 2e9:  # scores below 2**63, of all components
+        assert sorted(tuple(r) for r in topk.top_k(both, both, block=8, segment=20).collect()) == sorted(brute([v for v in vectors if v[0] < 60], 5))
+
+
+def test_topk_prunes_clustered_vectors(spark):
+    """Vectors around a few directions, in an order that mixes them: most blocks are never scored, answers stay exact."""
+    rng = np.random.default_rng(3)
+    centres = rng.normal(0, 400, (12, 16))
+    vectors = [(int(i), [int(x) for x in centres[i % 12] + rng.normal(0, 15, 16)]) for i in range(1500)]
+    rows = spark.createDataFrame(vectors, "vec_id long, v array<long>")
+    asked = rows.where("vec_id % 50 = 0")
+    assert topk.pruned_share(rows, asked, block=16, segment=300) > 0.5
+    found = sorted(tuple(r) for r in topk.top_k(rows, asked, block=16, segment=300).collect())
+    assert found == sorted(r for r in brute(vectors, 5) if r[0] % 50 == 0)
+
+
 def test_topk_of_awkward_rows(spark):
     nan, inf = float("nan"), float("inf")
     rows = [(0, [0.5, 0.25], 1), (50, [0.1, -0.2], 1), (50, [0.1, -0.2], 1), (1, None, 1), (2, [nan, 1.0], 1), (3, [inf, 1.0], 1), (4, [None, 1.0], 1), (5, [1.0, 1.0], 1), (None, [1.0, 1.0], 1)]
@@ -265,11 +314,9 @@ def test_topk_of_awkward_rows(spark):
 def test_pruning_keeps_the_best():
     """Sorted rows: all but a few blocks have bounds below the kth score."""
     rng = np.random.default_rng(0)
-    ids = np.arange(1000)
-    vectors = np.sort(rng.integers(0, 1000, (1000, 1)), axis=0).astype(float)
-    q = np.array([[1.0]])
-    found = list(topk._search(ids, vectors, np.array([-1]), q, np.array([-np.inf]), 5, 50))
-    assert [int(s) for _, _, s in found] == sorted(vectors[:, 0].astype(int))[::-1][:5]
+    vectors = np.sort(rng.integers(0, 1000, (1000, 1)), axis=0)
+    _, _, scores, scored = next(topk.Segment(np.arange(1000), vectors, 50).search(np.array([-1]), np.array([[1]]), [None], 5))
+    assert [int(s) for s in scores] == sorted(vectors[:, 0].tolist())[::-1][:5] and scored < 5
 
 
 def test_mixing_meets_marginals(spark):

@@ -16,15 +16,14 @@ RULES = (
     ("block", "net/es/"),
     ("block", "net/fr/"),
 )
-DAMPING, DIGITS = 0.85, 9
-#: Rounds end when scores change by less than this in sum (each round's change is at most ``DAMPING`` times the last one's), at the latest after so many.
+DAMPING, DIGITS = 0.85, 6
+#: Rounds end when scores change by less than this for each seed, in sum (each round's change is at most ``DAMPING`` times the last one's), at the latest after so many.
 TOLERANCE, ROUNDS = 1e-9, 130
-#: Rounds of the SQL, which has no loop; it finds links with a scheme only.
-SQL_ROUNDS = 10
+#: A host is blocked if its distrust exceeds its trust so many times.
+MARGIN = 1.0
 
 #: The host is what follows the first "://" up to "/", "?" or "#"; the path follows up to "?" or "#".
 URL = r"(?s)^.*?://([^/?#]*)([^?#]*)"
-SQL_LINK = r"""(?i)href\s*=\s*["']?\s*([a-z][a-z0-9+.\-]*://[^/?#"'\s>]+)"""
 #: An address may leave out the scheme (//host/path).
 LINK = r"""(?i)href\s*=\s*["']?\s*((?:[a-z][a-z0-9+.\-]*:)?//[^/?#"'\s>]+)"""
 
@@ -38,6 +37,11 @@ def path_of(url: Column) -> Column:
     return F.regexp_extract(F.coalesce(url.cast("string"), F.lit("")), URL, 2)
 
 
+def node_of(host: Column) -> Column:
+    """A host's node in the graph: without user names before it and the ports that its schemes mean anyway."""
+    return F.regexp_replace(host, r"^.*@|:(80|443)?$", "")
+
+
 def rule_of(host: Column, path: Column, rules: tuple[tuple[str, str], ...] = RULES) -> Column:
     """The longest fitting rule as struct (rule, verdict), or null. ``rules`` is a short list and part of the plan."""
     found = F.lit(None)
@@ -54,56 +58,59 @@ def flows(pages: DataFrame) -> DataFrame:
     Links are the absolute addresses in ``href``; they are counted per pair of hosts before anything else, so hosts
     with very many links cost as many rows as they have neighbours. Links within a host say nothing.
     """
-    links = pages.select("host", F.explode(F.regexp_extract_all(F.coalesce(F.col("html").cast("string"), F.lit("")), F.lit(LINK), 1)).alias("to")).select("host", host_of(F.when(F.col("to").startswith("//"), F.concat(F.lit(":"), "to")).otherwise(F.col("to"))).alias("to"))
+    links = pages.select("host", F.explode(F.regexp_extract_all(F.coalesce(F.col("html").cast("string"), F.lit("")), F.lit(LINK), 1)).alias("to")).select("host", node_of(host_of(F.when(F.col("to").startswith("//"), F.concat(F.lit(":"), "to")).otherwise(F.col("to")))).alias("to"))
     links = stored(links.where("host != '' and to != '' and host != to").groupBy("host", "to").agg(F.count("*").alias("n")), "host-links")
-    out = links.groupBy("host").agg(F.sum("n").alias("total"))
-    into = links.groupBy("to").agg(F.sum("n").alias("total"))
+    out = bounded(stored(links.groupBy("host").agg(F.sum("n").alias("total")), "host-out"))
+    into = bounded(stored(links.groupBy("to").agg(F.sum("n").alias("total")), "host-in"))
     trust = links.join(out, "host").select(F.lit("trust").alias("kind"), F.col("host").alias("from"), "to", (F.col("n") / F.col("total")).alias("share"))
     distrust = links.join(into, "to").select(F.lit("distrust").alias("kind"), F.col("to").alias("from"), F.col("host").alias("to"), (F.col("n") / F.col("total")).alias("share"))
     return stored(trust.unionByName(distrust), "host-flows")
 
 
 def propagate(flow: DataFrame, seeds: DataFrame, rounds: int = ROUNDS, damping: float = DAMPING) -> DataFrame:
-    """kind, host, score: personalised PageRank of each kind from its seeds (kind, host; equal weights, sum 1).
+    """kind, host, score: personalised PageRank of each kind from its seeds (kind, host), in units of one seed's weight.
 
-    Each round is one join of the flows with the scores and one sum, checkpointed; what reaches a host without
-    further links is not handed back. Rounds end when the scores stand still (``TOLERANCE``). Without flows the seeds keep their weights.
+    Scores of a kind sum to its number of seeds, so a seed's neighbour scores the same however many other seeds
+    there are. What reaches a host without further links goes back to the seeds: that scales a kind's scores
+    as a whole, so it is done once at the end. Each round is one join of the flows with the scores and one
+    sum, checkpointed. Rounds end when the scores stand still (``TOLERANCE``). Without flows the seeds keep their weights.
     """
-    totals = seeds.groupBy("kind").agg(F.count("*").alias("n"))
-    start = cut(seeds.join(F.broadcast(totals), "kind").select("kind", "host", (1.0 / F.col("n")).alias("score")))  # two kinds, two rows
+    start = cut(seeds.select("kind", "host", F.lit(1.0).alias("score")))
     if flow.isEmpty():
         return start
-    score = start
+    score, n = start, start.count()
     home = start.select("kind", "host", (F.col("score") * (1 - damping)).alias("score"))
     for _ in range(rounds):
         sent = flow.join(score.withColumnRenamed("host", "from"), ["kind", "from"]).select("kind", F.col("to").alias("host"), (F.col("share") * F.col("score") * damping).alias("score"))
         last, score = score, cut(sent.unionByName(home).groupBy("kind", "host").agg(F.sum("score").alias("score")))
         both = score.join(last.withColumnRenamed("score", "before"), ["kind", "host"], "full")
-        if (both.agg(F.sum(F.abs(F.coalesce("score", F.lit(0.0)) - F.coalesce("before", F.lit(0.0))))).first()[0] or 0.0) < TOLERANCE:
+        if (both.agg(F.sum(F.abs(F.coalesce("score", F.lit(0.0)) - F.coalesce("before", F.lit(0.0))))).first()[0] or 0.0) < TOLERANCE * n:
             break
-    return score
+    mass = score.groupBy("kind").agg(F.sum("score").alias("mass")).join(start.groupBy("kind").agg(F.count("*").alias("n")), "kind")
+    return score.join(F.broadcast(mass), "kind").select("kind", "host", (F.col("score") * F.col("n") / F.col("mass")).alias("score"))  # two kinds, two rows
 
 
-def judge(pages: DataFrame, rules: tuple[tuple[str, str], ...] = RULES, rounds: int = ROUNDS, damping: float = DAMPING) -> DataFrame:
+def judge(pages: DataFrame, rules: tuple[tuple[str, str], ...] = RULES, rounds: int = ROUNDS, damping: float = DAMPING, margin: float = MARGIN) -> DataFrame:
     """page_id, host, path, rule, verdict, trust, distrust for every page.
 
     A page with a fitting rule has its verdict. Hosts most of whose pages rules allow are trusted seeds, those most
     of whose pages rules block are blocked seeds. Trust is personalised PageRank from the first along links;
     distrust from the second against links, since who links to bad hosts is suspect. Other pages are blocked
-    if their host's distrust exceeds its trust, else allowed.
+    if their host's distrust exceeds ``margin`` times its trust, else allowed. Verdicts compare unrounded scores.
 
     A null url, or one without ``://``, has empty host and path and is allowed; null html has no links; repeated
     rows are judged each; null page_ids stay; other columns are not read; no rows give no rows.
     """
-    parsed = pages.select("page_id", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path")).withColumn("fit", rule_of(F.col("host"), F.col("path"), rules))
+    parsed = pages.select("page_id", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"))
+    parsed = parsed.withColumn("fit", rule_of(F.col("host"), F.col("path"), rules)).withColumn("node", node_of(F.col("host")))
     n = F.count("*")
     most = lambda v: 2 * F.count(F.when(F.col("fit.verdict") == v, 1)) > n
-    seeds = parsed.where("host != ''").groupBy("host").agg(F.when(most("allow"), "trust").when(most("block"), "distrust").alias("kind")).where("kind is not null").select("kind", "host")
-    flow = flows(pages.select(host_of(F.col("url")).alias("host"), "html"))
+    seeds = parsed.where("node != ''").groupBy("node").agg(F.when(most("allow"), "trust").when(most("block"), "distrust").alias("kind")).where("kind is not null").select("kind", F.col("node").alias("host"))
+    flow = flows(pages.select(node_of(host_of(F.col("url"))).alias("host"), "html"))
     of = lambda kind: F.sum(F.when(F.col("kind") == kind, F.col("score")).otherwise(0.0)).alias(kind)
-    scores = stored(propagate(flow, seeds, rounds, damping).groupBy("host").agg(of("trust"), of("distrust")), "host-scores")
-    rows = parsed.join(bounded(scores), "host", "left").fillna(0.0, ["trust", "distrust"])
-    own = F.when(F.col("distrust") > F.col("trust"), "block").otherwise("allow")
+    scores = stored(propagate(flow, seeds, rounds, damping).groupBy(F.col("host").alias("node")).agg(of("trust"), of("distrust")), "host-scores")
+    rows = parsed.join(bounded(scores), "node", "left").fillna(0.0, ["trust", "distrust"])
+    own = F.when(F.col("distrust") > F.lit(float(margin)) * F.col("trust"), "block").otherwise("allow")
     return rows.select("page_id", "host", "path", F.col("fit.rule").alias("rule"), F.coalesce("fit.verdict", own).alias("verdict"), *(F.round(k, DIGITS).alias(k) for k in ("trust", "distrust")))
 
 
@@ -116,26 +123,25 @@ def _oracle() -> str:
     longest = sorted(RULES, key=lambda r: -len(r[1]))
     cases = lambda i: " ".join(f"WHEN {fits(r[1])} THEN '{r[i]}'" for r in longest)
     fold = f"'{string.ascii_uppercase}', '{string.ascii_lowercase}'"
-    sql = rf"""
-WITH p AS (SELECT page_id, translate(regexp_extract(coalesce(url, ''), '{URL}', 1), {fold}) AS host, regexp_extract(coalesce(url, ''), '{URL}', 2) AS path, html FROM pages),
-j AS (SELECT *, CASE {cases(1)} END AS rule, CASE {cases(0)} END AS fit FROM p),
-k AS (SELECT CASE WHEN 2 * count(*) FILTER (fit = 'allow') > count(*) THEN 'trust' WHEN 2 * count(*) FILTER (fit = 'block') > count(*) THEN 'distrust' END AS kind, host FROM j WHERE host <> '' GROUP BY host),
-s0 AS (SELECT kind, host, 1::DOUBLE / count(*) OVER (PARTITION BY kind) AS score FROM k WHERE kind IS NOT NULL),
-u AS (SELECT host, unnest(regexp_extract_all(coalesce(html, ''), '{SQL_LINK.replace("'", "''")}', 1)) AS u FROM p),
-l AS (SELECT host, translate(regexp_extract(u, '{URL}', 1), {fold}) AS t, count(*) AS n FROM u GROUP BY ALL),
-e AS (SELECT * FROM l WHERE host <> '' AND t <> '' AND host <> t),
-f AS (SELECT 'trust' AS kind, host AS a, t AS b, n / sum(n) OVER (PARTITION BY host) AS share FROM e
-      UNION ALL SELECT 'distrust', t, host, n / sum(n) OVER (PARTITION BY t) FROM e)"""
-    for i in range(SQL_ROUNDS):
-        sql += f""",
-s{i + 1} AS MATERIALIZED (SELECT kind, host, sum(score) AS score FROM (
-  SELECT f.kind, b AS host, share * score * {DAMPING} AS score FROM f JOIN s{i} s ON f.kind = s.kind AND f.a = s.host
-  UNION ALL SELECT kind, host, score * CASE WHEN EXISTS (FROM f) THEN {1 - DAMPING} ELSE 1 END FROM s0) GROUP BY ALL)"""
-    return sql + f""",
-r AS (SELECT host, round(sum(score) FILTER (kind = 'trust'), {DIGITS}) AS t, round(sum(score) FILTER (kind = 'distrust'), {DIGITS}) AS d FROM s{SQL_ROUNDS} GROUP BY host)
-SELECT page_id, host, path, rule, coalesce(fit, CASE WHEN coalesce(d, 0) > coalesce(t, 0) THEN 'block' ELSE 'allow' END) AS verdict,
-       coalesce(t, 0)::DOUBLE AS trust, coalesce(d, 0)::DOUBLE AS distrust
-FROM j LEFT JOIN r USING (host)
+    return rf"""
+WITH RECURSIVE p AS (SELECT page_id, translate(regexp_extract(coalesce(url, ''), '{URL}', 1), {fold}) AS host, regexp_extract(coalesce(url, ''), '{URL}', 2) AS path, html FROM pages),
+j AS (SELECT *, regexp_replace(host, '^.*@|:(80|443)?$', '', 'g') AS node, CASE {cases(1)} END AS rule, CASE {cases(0)} END AS fit FROM p),
+k AS (SELECT CASE WHEN 2 * count(*) FILTER (fit = 'allow') > count(*) THEN 'trust' WHEN 2 * count(*) FILTER (fit = 'block') > count(*) THEN 'distrust' END AS kind, node FROM j WHERE node <> '' GROUP BY node),
+s0 AS (SELECT kind, node, 1::DOUBLE AS score FROM k WHERE kind IS NOT NULL),
+u AS (SELECT node, unnest(regexp_extract_all(coalesce(html, ''), '{LINK.replace("'", "''")}', 1)) AS u FROM j),
+l AS (SELECT node, regexp_replace(translate(regexp_extract(CASE WHEN starts_with(u, '//') THEN ':' || u ELSE u END, '{URL}', 1), {fold}), '^.*@|:(80|443)?$', '', 'g') AS t, count(*) AS n FROM u GROUP BY ALL),
+e AS (SELECT * FROM l WHERE node <> '' AND t <> '' AND node <> t),
+f AS (SELECT 'trust' AS kind, node AS a, t AS b, n / sum(n) OVER (PARTITION BY node) AS share FROM e
+      UNION ALL SELECT 'distrust', t, node, n / sum(n) OVER (PARTITION BY t) FROM e),
+it AS (SELECT 0 AS round, kind, node, score FROM s0
+       UNION ALL SELECT round, kind, node, sum(score) AS score FROM (
+         SELECT i.round + 1 AS round, f.kind, f.b AS node, share * score * {DAMPING}::DOUBLE AS score FROM f JOIN it i ON f.kind = i.kind AND f.a = i.node WHERE i.round < {ROUNDS}
+         UNION ALL SELECT r.round + 1, kind, node, score * {1 - DAMPING}::DOUBLE FROM s0, (SELECT DISTINCT round FROM it) r WHERE r.round < {ROUNDS} AND EXISTS (FROM f)) GROUP BY ALL),
+z AS (SELECT kind, node, score * (SELECT count(*) FROM s0 WHERE s0.kind = it.kind) / sum(score) OVER (PARTITION BY kind) AS score FROM it WHERE round = (SELECT max(round) FROM it)),
+r AS (SELECT node, coalesce(sum(score) FILTER (kind = 'trust'), 0) AS t, coalesce(sum(score) FILTER (kind = 'distrust'), 0) AS d FROM z GROUP BY node)
+SELECT page_id, host, path, rule, coalesce(fit, CASE WHEN coalesce(d, 0) > {MARGIN}::DOUBLE * coalesce(t, 0) THEN 'block' ELSE 'allow' END) AS verdict,
+       round(coalesce(t, 0)::DOUBLE, {DIGITS}) AS trust, round(coalesce(d, 0)::DOUBLE, {DIGITS}) AS distrust
+FROM j LEFT JOIN r USING (node)
 """
 
 

@@ -311,18 +311,17 @@ def test_propagation(spark):
     assert {h: got[h]["verdict"] for h in ("near.org", "hub.org", "alone.org", "farm.org", "farm2.org")} == {"near.org": "allow", "hub.org": "allow", "alone.org": "allow", "farm.org": "block", "farm2.org": "block"}
 
     edges = [("good.com", "near.org", 2), ("good.com", "hub.org", 1), ("bad.net", "near.org", 1), ("farm.org", "bad.net", 1), ("farm.org", "farm2.org", 1), ("farm2.org", "farm.org", 1), ("farm2.org", "bad.net", 1), ("near.org", "hub.org", 1), ("hub.org", "bad.net", 1), ("hub.org", "near.org", 1)]
+    hosts = sorted({h for a, b, _ in edges for h in (a, b)})
+    place = {h: i for i, h in enumerate(hosts)}
     for kind, seed, flow in (("trust", "good.com", edges), ("distrust", "bad.net", [(b, a, n) for a, b, n in edges])):
-        total = defaultdict(int)
-        for a, _, n in flow:
-            total[a] += n
-        score = {seed: 1.0}
-        for _ in range(url_filter.ROUNDS):
-            after = defaultdict(float, {seed: 1 - url_filter.DAMPING})
-            for a, b, n in flow:
-                after[b] += url_filter.DAMPING * score.get(a, 0) * n / total[a]
-            score = after
+        m, home = np.zeros((len(hosts), len(hosts))), np.eye(len(hosts))[place[seed]]
+        for a, b, n in flow:
+            m[place[b], place[a]] += n
+        for i in range(len(hosts)):
+            m[:, i] = m[:, i] / m[:, i].sum() if m[:, i].any() else home  # a host without further links hands all back to the seeds
+        score = np.linalg.solve(np.eye(len(hosts)) - url_filter.DAMPING * m, (1 - url_filter.DAMPING) * home)
         for h, r in got.items():
-            assert abs(r[kind] - score.get(h, 0)) < 1e-6
+            assert abs(r[kind] - (score[place[h]] if h in place else 0)) < 1e-6
     none = spark.createDataFrame([], "page_id long, url string, html string")
     assert url_filter.judge(none).count() == 0
 
@@ -336,6 +335,33 @@ def test_verdicts_hold_for_many_hosts_and_long_chains(spark, monkeypatch):
     assert {r["verdict"] for r in url_filter.judge(table).collect()} == {"block"}
 
 
+def test_propagation_equals_sql(spark):
+    """Links with and without a scheme, ports, user names, hosts without further links, several seeds."""
+    rng = random.Random(9)
+    hosts = [*(f"s{i}.com" for i in range(5)), *(f"b{i}.net" for i in range(4)), *(f"o{i}.org" for i in range(30))]
+    pages = []
+    for i, h in enumerate(hosts * 2):
+        links = "".join(f'<a href="{rng.choice(["http://", "//", "HTTPS://u@"])}{rng.choice(hosts).upper()}{rng.choice(["", ":80", ":8080"])}/p">x</a>' for _ in range(rng.randint(0, 4)))
+        pages.append((i, f"http://{h}{rng.choice(['', ':443'])}/{'es/' if h.endswith('net') else ''}", links))
+    con = duckdb.connect()
+    con.execute("CREATE TABLE pages (page_id BIGINT, url VARCHAR, html VARCHAR)")
+    con.executemany("INSERT INTO pages VALUES (?, ?, ?)", pages)
+    cursor = con.execute(url_filter.ORACLE)
+    names = [c[0] for c in cursor.description]
+    expected = sorted(cursor.fetchall())
+    got = sorted(tuple(r[c] for c in names) for r in url_filter.judge(spark.createDataFrame(pages, "page_id long, url string, html string")).collect())
+    assert [r[:5] for r in got] == [r[:5] for r in expected] and {r[names.index("verdict")] for r in got} == {"allow", "block"}
+    assert all(abs(a - b) < 2e-6 for x, y in zip(got, expected, strict=True) for a, b in zip(x[5:], y[5:], strict=True))
+    assert sum(r[names.index("trust")] > 0 for r in got) > len(pages) / 3
+
+
+def test_margin_moves_verdicts(spark):
+    pages = [(0, "http://bad.net/es/", ""), (1, "http://c.org/", "<a href='//bad.net/x'>l</a>"), (2, "http://good.com/", "<a href='http://c.org'>l</a>")]
+    table = spark.createDataFrame(pages, "page_id long, url string, html string")
+    verdict = lambda m: next(r["verdict"] for r in url_filter.judge(table, margin=m).collect() if r["page_id"] == 1)
+    assert (verdict(0.01), verdict(100.0)) == ("block", "allow")
+
+
 def test_links_without_a_scheme_count(spark):
     pages = [(0, "http://bad.net/es/", ""), (1, "http://c.org/", "<a href='//bad.net/x'>l</a>")]
     assert {r["verdict"] for r in url_filter.judge(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()} == {"block"}

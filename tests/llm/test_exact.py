@@ -319,24 +319,73 @@ def test_pruning_keeps_the_best():
     assert [int(s) for s in scores] == sorted(vectors[:, 0].tolist())[::-1][:5] and scored < 5
 
 
-def test_mixing_meets_marginals(spark):
-    rng = random.Random(1)
-    cells = [(s, lang, t, rng.randint(100, 9000)) for s in "abcde" for lang in ("x", "y") for t in ("p", "q")]
-    table = spark.createDataFrame(cells, "source string, lang string, topic string, _tokens long")
-    got = mixing.rake(table, mixing.DIMENSIONS, rate=0.5, rounds=25).join(table, list(mixing.DIMENSIONS)).collect()
-    total = sum(c[3] for c in cells)
+def filled(has, share, total):
+    """Goals by share that nothing exceeds: values that would exceed what they have are full, the rest share what is left."""
+    full = set()
+    while True:
+        left, shares = total - sum(has[v] for v in full), sum(n for v, n in share.items() if v not in full)
+        over = {v for v in share if v not in full and share[v] * left > has[v] * shares}
+        if not over:
+            return {v: has[v] if v in full else share[v] / shares * left if share[v] else 0.0 for v in share}
+        full |= over
+
+
+def marginals(cells, rate, weights=None):
+    found, sums = {}, {}
     for at, d in enumerate(mixing.DIMENSIONS):
-        has, kept = defaultdict(float), defaultdict(float)
+        has = defaultdict(float)
         for c in cells:
             has[c[at]] += c[3]
+        sums[d] = has, {v: (weights or {}).get(d, {}).get(v, 0.0) if d in (weights or {}) else n**mixing.POWER for v, n in has.items()}
+    total = min(min(sum(has.values()) * rate, sum(has[v] for v in share if share[v] > 0)) for has, share in sums.values())
+    return {d: filled(has, share, total) for d, (has, share) in sums.items()}
+
+
+@pytest.mark.parametrize(("most", "weights"), [(50_000, None), (7, None), (50_000, {"lang": {"x": 3, "y": 1, "z": 5}}), (7, {"source": {"a": 1, "b": 1, "c": 2, "d": 1}, "lang": {"x": 2, "y": 1}})])
+def test_mixing_meets_marginals(spark, monkeypatch, most, weights):
+    """Within the tolerance of the feasible goals, in one part of the cell table and in several."""
+    monkeypatch.setattr(mixing, "CELLS", most)
+    rng = random.Random(1)
+    cells = [(s, lang, t, rng.randint(100, 9000)) for s in "abcde" for lang in ("x", "y") for t in ("p", "q")] + [("f", "x", "p", 3)]
+    table = spark.createDataFrame(cells, "source string, lang string, topic string, _tokens long")
+    rate = 0.2 if weights and "source" in weights else 0.5
+    got, gap = mixing.rake(table, mixing.DIMENSIONS, weights, rate=rate)
+    got = got.join(table, list(mixing.DIMENSIONS)).collect()
+    assert gap < mixing.TOLERANCE and len(got) == len(cells)
+    for d, goal in marginals(cells, rate, weights).items():
+        kept = defaultdict(float)
         for r in got:
             kept[r[d]] += r["_tokens"] * r["probability"]
-        share = {v: n**mixing.POWER for v, n in has.items()}
-        for v in has:
-            assert abs(kept[v] - share[v] / sum(share.values()) * total * 0.5) < 0.01 * total
-    stated = mixing.rake(table, mixing.DIMENSIONS, {"lang": {"x": 3, "y": 1, "z": 5}}, rate=0.3, rounds=25).join(table, list(mixing.DIMENSIONS))
-    mass = {r["lang"]: r["m"] for r in stated.groupBy("lang").agg(F.sum(F.col("_tokens") * F.col("probability")).alias("m")).collect()}
-    assert abs(mass["x"] / mass["y"] - 3) < 0.05
+        for v in goal:
+            assert abs(kept[v] - goal[v]) <= 0.003 * goal[v] + 0.01, (d, v)
+
+
+def test_mixing_of_whole_documents_meets_marginals(spark):
+    """Every marginal of the table is within a hundredth of its feasible goal, and so is what is sampled in all."""
+    rows = mixing.op1_mixing(spark, "/root/testdata/sf0.01").collect()
+    cells = defaultdict(float)
+    for r in rows:
+        cells[r["source"], r["lang"], r["topic"]] += r["est_tokens"]
+    for d, goal in marginals([(*k, n) for k, n in cells.items()], mixing.RATE).items():
+        kept = defaultdict(float)
+        for r in rows:
+            kept[r[d]] += r["est_tokens"] * r["probability"]
+        assert all(abs(kept[v] - goal[v]) <= 0.01 * goal[v] for v in goal), d
+    total = sum(cells.values())
+    assert abs(sum(r["est_tokens"] for r in rows if r["sampled"]) / total - mixing.RATE) < 0.05
+
+
+def test_contradicting_marginals_are_reported(spark):
+    """One language has only one source, so their weights cannot both be met: the gap says so."""
+    table = spark.createDataFrame([("a", "x", "t", 100), ("b", "y", "t", 100)], "source string, lang string, topic string, _tokens long")
+    _, gap = mixing.rake(table, mixing.DIMENSIONS, {"source": {"a": 3, "b": 1}, "lang": {"x": 1, "y": 3}}, rate=0.3, rounds=8)
+    assert gap > 0.5
+
+
+def test_mixing_by_given_topics_and_counts(spark):
+    rows = spark.createDataFrame([(i, "t", "en", "s", "kind" + str(i % 2), 10, 0.5) for i in range(50)], "doc_id long, text string, lang string, source string, subject string, n long, cell_probability double")
+    got = mixing.mix(rows, topic_of=F.col("subject"), tokens_of=F.col("n"))
+    assert {(r["_topic"], r["_tokens"]) for r in got.collect()} == {("kind0", 10), ("kind1", 10)} and "cell_probability" in got.columns
 
 
 def test_mixing_of_awkward_rows(docs, empty):

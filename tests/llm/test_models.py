@@ -225,11 +225,50 @@ def test_machine_learns_pairs():
     m = toxicity.fit([np.array(toxicity.features(t)) for t, _ in rows[:cut]], np.array([float(y) for _, y in rows[:cut]]))
     right = [(m.score_text(t) >= 0.5) == y for t, y in rows[cut:]]
     assert np.mean(right) > 0.97
-    i, j = (m.index[toxicity.crc32(w.encode()) % toxicity.BUCKETS * 4] for w in ("idiot", "folk"))
+    i, j = (m.index[place_of(w)] for w in ("idiot", "folk"))
     assert m.v[i] @ m.v[j] > 0.5
     assert 0 <= m.score_text(None) <= 1 and m.score_text("") == m.score_text(None)
 
 
+def place_of(word):
+    return toxicity.crc32(word.encode()) % toxicity.BUCKETS * len(toxicity.TIMES)
+
+
+def test_machine_keeps_a_group_word_that_says_nothing_alone():
+    """The group word is as frequent in toxic texts as in others, among thousands of features; only beside the insult it decides."""
+    rng = random.Random(2)
+    fill = ["".join(rng.choices("abcdefghijklmnop", k=7)) for _ in range(6000)]
+    rows = []
+    for i in range(4000):
+        kind, group = rng.choice(["idiot", "slur", None]), i % 2 == 0
+        toxic = (kind == "idiot" and group) or (kind == "slur" and not group and rng.random() < 0.95)
+        rows.append((" ".join(rng.sample(fill, 30) + [kind] * (kind is not None) + ["folk"] * group), int(toxic)))
+    found, y = [np.array(toxicity.features(t)) for t, _ in rows], np.array([float(y) for _, y in rows])
+    rate = lambda has: np.mean([y for (_, y), f in zip(rows[:3000], found, strict=False) if (place_of("folk") in f) == has])
+    assert abs(rate(True) - rate(False)) < 0.03
+    m = toxicity.fit(found[:3000], y[:3000])
+    assert place_of("folk") in m.index
+    assert np.mean([(m.score_text(t) >= 0.5) == y for t, y in rows[3000:]]) > 0.93
+
+
+def test_machine_scores_are_sums_over_pairs(spark):
+    """Scores by the finder and in batches equal bias, weights and products of all pairs of the features present."""
+    docs = [r["text"] for r in spark.read.parquet(f"{DATA}/documents.parquet").select("text").collect()]
+    rng = np.random.default_rng(1)
+    every = np.unique(np.concatenate([toxicity.features(t) for t in docs]))
+    selected = rng.choice(every, 400, replace=False)
+    m = toxicity.Machine(np.sort(selected), -0.5, rng.normal(0, 0.1, 400), rng.normal(0, 0.1, (400, toxicity.FACTORS)))
+    texts = [*docs, None, "", "Word word WORD words wording", "x" * 100_000]
+    expected = []
+    for t in texts:
+        i = [m.index[f] for f in toxicity.features(t) if f in m.index]
+        logit = m.bias + sum(m.w[a] for a in i) + sum(m.v[a] @ m.v[b] for a, b in combinations(i, 2))
+        expected.append(1 / (1 + np.exp(-np.clip(logit, -40, 40))))
+    table = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"]: r["toxic_score"] for r in toxicity.score(table, m).collect()}
+    assert max(abs(got[i] - e) for i, e in enumerate(expected)) < 1e-9
+
+
 @pytest.mark.parametrize(("labels", "score"), [([], 0.0), ([0, 0], 0.0), ([1, 1], 1.0)])
 def test_machine_without_two_classes(labels, score):
     m = toxicity.fit([np.array([1]) for _ in labels], np.array(labels, float))
@@ -249,6 +288,8 @@ def test_toxicity_of_awkward_rows(spark):
     labels = spark.createDataFrame([(1, None), (2, 1), (2, 0), (None, 1), (77, 0)], "doc_id long, toxic int")
     left = toxicity.drop_toxic(docs, labels)
     assert left.columns == docs.columns
+    clash = docs.withColumns({"labelled_doc": F.lit(1), "TOXIC_score": F.lit(0.5), "label": F.lit(1)})
+    assert toxicity.drop_toxic(clash, labels).columns == clash.columns
     assert toxicity.score(docs, toxicity.train(docs, labels)).count() == 5
     assert toxicity.drop_toxic(docs.where("false"), labels.where("false")).count() == 0
 

@@ -108,8 +108,8 @@ def near_groups(docs: DataFrame, words: int = WORDS, max_bits: int = MAX_BITS, s
 
 #: Shares of links that the candidate search may miss, at the stated similarity itself (above it misses fall fast).
 LOSS = 0.002
-#: Least width of a segment; from 2**(WIDTH + 3) rows on a segment is a bit wider for each doubling, so that chance meetings do not grow.
-WIDTH = 16
+#: Least width of a segment; from 2**(WIDTH + 4) rows on a segment is a bit wider for each doubling, so that chance meetings do not grow.
+WIDTH = 14
 #: Rounds in which each text is compared with one text of each of its values, before all pairs between groups are.
 STARS = 2
 #: A segment's value is crowded from so many texts on.
@@ -125,7 +125,7 @@ def flip_share(similarity: float) -> float:
 def scheme(rows: int, similarity: float, loss: float = LOSS) -> tuple[int, int]:
     """(segments, width): as many segments as make a pair of that similarity meet within one bit in one of them, but for
     a share of ``loss``."""
-    width = max(WIDTH, rows.bit_length() - 3)
+    width = max(WIDTH, rows.bit_length() - 4)
     p = flip_share(similarity)
     meet = (1 - p) ** width + width * p * (1 - p) ** (width - 1)
     return max(1, int(np.ceil(np.log(loss) / np.log1p(-meet)))) if p else 1, width
@@ -151,7 +151,7 @@ def signatures(docs: DataFrame, words: int, longs: int) -> DataFrame:
     """doc_id, text_key (XXH64 of the text), node (texts with equal shingle sets share it), size, odd (parities) and fp of its set per row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in (b.slice(at, 512) for b in batches for at in range(0, b.num_rows, 512)):
             sets = [jaccard.shingles(t.as_py(), words) for t in b.column("text")]
             lists = (pa.array(map(f, sets), pa.list_(pa.int64())) for f in (jaccard.parities, partial(set_fingerprint, words=longs)))
             made = [pa.array(map(jaccard.node_of, sets), pa.int64()), pa.array(map(len, sets), pa.int32()), *lists]
@@ -175,13 +175,13 @@ class Similar:
     def __init__(self, nodes: DataFrame, docs: DataFrame, words: int, similarity: float, segments: int, width: int, longs: int):
         self.nodes, self.docs, self.words, self.similarity, self.segments, self.width = nodes, docs, words, similarity, segments, width
         share = flip_share(similarity)
-        limit = lambda bits: round(bits * share + 4.5 * (bits * share * (1 - share)) ** 0.5)
+        limit = lambda bits: round(bits * share + 4 * (bits * share * (1 - share)) ** 0.5)
         a, b = F.col("size_a"), F.col("size_b")
-        #: over the first 64 bits, which travel with every row; over all bits, and what sizes and parities prove
+        # over the last 64 bits, which are in no segment and travel with every row; over all bits, and what sizes and parities prove
         self.near = F.bit_count(F.col("head_a").bitwiseXOR(F.col("head_b"))) <= limit(BITS)
         proved = (F.least(a, b) >= similarity * F.greatest(a, b)) & (_apart("odd", jaccard.ODD_WORDS) * (1 + similarity) <= (a + b) * (1 - similarity) + 1e-6)
         self.fits = (_apart("fp", longs) <= limit(BITS * longs)) & proved
-        self.plain = nodes.where("size > 0").select(F.col("node").alias("id"), F.col("fp")[0].alias("head"), "fp", "size", "odd")
+        self.plain = nodes.where("size > 0").select(F.col("node").alias("id"), F.col("fp")[longs - 1].alias("head"), "fp", "size", "odd")
 
     def values(self) -> Column:
         """Array of a long per segment: its number, a place for the class of sizes, its bits."""
@@ -230,28 +230,30 @@ class Similar:
 
         After ``stars``, each value's ball of radius one is looked up; of two values the one with a zero at the
         differing bit looks. Only what meets between different groups is kept, so a group's own pairs are never rows. What
-        meets is compared over the first 64 bits, which travel with it, then over all. At values that ``CROWD`` nodes
+        meets is compared over 64 bits that are in no segment and travel with it, then over all. At values that ``CROWD`` nodes
         or more share (near copies of one text, texts around a common passage), whole fingerprints travel and the lookup
         itself compares them; there, nodes of the value's largest group do not look at that group. What is left is decided on whole sets.
         """
         star, groups = self.stars()
         plain = self.plain.join(groups, "id")
         rows = plain.select("id", "head", "group", self.size_class().alias("class"), F.explode(self.values()).alias("value"))
+        rows = stored(rows, "near-table")
         put = lambda v, c: (v + F.shiftleft(c, 40)).alias("key")
         around = F.explode(F.array(*[F.col("class") + i for i in (-1, 0, 1)])).alias("of")
-        table = rows.select("id", "head", "group", "value", around).where("of >= 0").select("id", "head", "group", put(F.col("value"), F.col("of")))
+        entries = lambda df, *columns: df.select(*columns, "value", around).where("of >= 0").select(*columns, put(F.col("value"), F.col("of")))
+        table = entries(rows, "id", "head", "group")
         masks = F.array(F.lit(0).cast("long"), *[F.lit(1 << i).cast("long") for i in range(self.width)])
         ball = F.explode(F.filter(masks, lambda m: F.col("value").bitwiseAND(m) == 0)).alias("mask")
         asked = rows.select("id", "head", "group", "class", "value", ball).select("id", "head", "group", put(F.col("value").bitwiseXOR(F.col("mask")), F.col("class")))
-        table, crowded = stored(table, "near-table"), None
-        crowded = stored(table.groupBy("key").count().where(F.col("count") >= CROWD).select("key"), "near-crowded")
-        most = table.join(bounded(crowded), "key", "left_semi").groupBy("key", "group").count().groupBy("key").agg(F.max_by("group", F.struct("count", "group")).alias("most"))
+        # a key with so many entries has a third of them from one class of sizes at least
+        many = entries(rows.groupBy("value", "class").count().where(F.col("count") * 3 >= CROWD)).distinct()
+        crowded = bounded(stored(many, "near-crowded"))
+        most = table.join(crowded, "key", "left_semi").groupBy("key", "group").count().groupBy("key").agg(F.max_by("group", F.struct("count", "group")).alias("most"))
         most = bounded(stored(most, "near-most"))
 
         name = lambda df, end: df.withColumnsRenamed({"id": end, "head": f"head_{end}", "group": f"group_{end}"})
-        few = bounded(crowded)
         other = self.near & (F.col("group_a") != F.col("group_b"))
-        met = name(asked.join(few, "key", "left_anti"), "a").join(name(table.join(few, "key", "left_anti"), "b"), "key").where(other)
+        met = name(asked.join(crowded, "key", "left_anti"), "a").join(name(table.join(crowded, "key", "left_anti"), "b"), "key").where(other)
         pairs = self.ends(met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()).select("a", "b")
 
         whole = lambda df, end: df.join(self.plain.select("id", *[F.col(c).alias(f"{c}_{end}") for c in ("fp", "size", "odd")]), "id")
@@ -265,7 +267,7 @@ class Similar:
 def _similar(docs: DataFrame, words: int, similarity: float) -> tuple[DataFrame, DataFrame]:
     """(rows as doc_id, text_key, node; node, root, least for every node)."""
     segments, width = scheme(docs.count(), similarity)
-    longs = -(-segments * width // BITS)
+    longs = -(-segments * width // BITS) + 1
     rows = stored(signatures(docs, words, longs), "signatures")
     nodes = rows.groupBy("node").agg(F.min("doc_id").alias("least"), F.min(F.struct("text_key", "size", "odd", "fp")).alias("c"))
     nodes = stored(nodes.select("node", "least", "c.*"), "near-nodes")

@@ -8,7 +8,6 @@ from collections.abc import Iterator
 from zlib import crc32
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, functions as F
@@ -25,7 +24,7 @@ LEAST, STRONG = 5, 128
 TIMES = (1, 2, 3, 5)
 STEM = 4
 #: Words that a worker remembers.
-MEMO = 500_000
+MEMO = 200_000
 EPOCHS, BATCH, RATE, DECAY, SEED = 40, 512, 0.02, 1e-4, 7
 
 LETTERS = re.compile(r"[^\W\d_]+")
@@ -223,11 +222,11 @@ def score(docs: DataFrame, machine: Machine) -> DataFrame:
     Null and empty texts have no features and so the machine's bias; repeated rows get equal scores."""
     shared = docs.sparkSession.sparkContext.broadcast(machine)  # (FEATURES + PAIRED) * (FACTORS + 1) numbers at most
 
-    @F.pandas_udf("double")
-    def of(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    @F.arrow_udf("double")
+    def of(parts: Iterator[pa.Array]) -> Iterator[pa.Array]:
         finder = Finder(shared.value)
         for texts in parts:
-            yield pd.Series(shared.value.scores([finder.places(t) for t in texts]))
+            yield pa.array(shared.value.scores([finder.places(t.as_py()) for t in texts]), pa.float64())
 
     return docs.withColumn("toxic_score", of(F.col("text").cast("string")))
 

@@ -10,7 +10,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
-from .common import cut
+from .common import bounded, cut, stored
 
 #: Documents a fit may use (a sample by a hash of doc_id), but at least so many of each language; words the model keeps of
 #: each language and n-grams of each language and order, the most frequent ones.
@@ -115,22 +115,30 @@ def train(docs: DataFrame, train_rows: int = TRAIN_ROWS) -> Model:
     """Learns from text and non-null lang of documents outside the held-out third, at most about ``train_rows`` of them
     and ``LANG_ROWS`` of each rare language.
 
-    Words are counted per task and summed in Spark; n-grams are counted from the table of words. The most frequent
-    ``WORDS`` words of each language and ``GRAMS`` n-grams of each language and order come to the driver.
+    Words are counted per task and summed in Spark; n-grams are counted from the table of words. Terms are cut, not
+    (term, language) pairs: the most frequent ``WORDS`` words of each language and ``GRAMS`` n-grams of each language and order
+    come to the driver, each with its counts in all languages. Null texts, null languages and held-out rows teach nothing; a
+    null doc_id hashes as '', which is not held out.
     """
     known = docs.where("text is not null and lang is not null").where(~held_out()).select("doc_id", F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
     sizes = {r["lang"]: r["count"] for r in known.groupBy("lang").count().collect()}  # a row per language
     if (n := sum(sizes.values())) > train_rows:
         shares = [(lang, max(train_rows / n, min(1.0, LANG_ROWS / of))) for lang, of in sizes.items()]
-        shares = F.broadcast(known.sparkSession.createDataFrame(shares, "lang string, _share double"))
-        known = known.join(shares, "lang").where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < F.col("_share") * 1_000_000)
+        shares = F.broadcast(known.sparkSession.createDataFrame(shares, "lang string, share double"))  # a row per language
+        known = known.join(shares, "lang").where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < F.col("share") * 1_000_000)
     words = cut(known.select("text", "lang").mapInArrow(_count_words, "lang string, term string, n long").groupBy("lang", "term").agg(F.sum("n").alias("n")))
     padded = F.concat(F.lit(" "), "term", F.lit(" "))
     of = lambda order, s: F.transform(F.sequence(F.lit(1), F.length(s) - order + 1), lambda i: F.struct(F.lit(order).alias("n_order"), F.substr(s, i, F.lit(order)).alias("term")))
     every = F.concat(*[of(n, F.col("term") if n == 1 else padded) for n in ORDERS if n < 4], F.when(F.length(padded) >= 4, of(4, padded)).otherwise(F.array().cast("array<struct<n_order:int,term:string>>")))
     found = words.select("lang", "n", F.explode(every).alias("g")).groupBy(F.col("g.n_order").alias("n_order"), F.col("g.term").alias("term"), "lang").agg(F.sum("n").alias("n"))
     place = F.row_number().over(Window.partitionBy("lang", "n_order").orderBy(F.desc("n"), "term"))
-    most = lambda part, rows: sorted(tuple(r) for r in part.where(F.col("n") >= LEAST).withColumn("place", place).where(F.col("place") <= rows).select("n_order", "term", "lang", "n").collect())
+
+    def most(part: DataFrame, rows: int) -> list[tuple]:
+        """Terms that are among the most frequent ``rows`` of a language, with their counts in every language."""
+        part = stored(part.select("n_order", "term", "lang", "n"), "langid-terms")
+        chosen = part.withColumn("place", place).where((F.col("place") <= rows) & (F.col("n") >= LEAST)).select("n_order", "term").distinct()
+        return sorted(tuple(r) for r in part.join(bounded(stored(chosen, "langid-chosen")), ["n_order", "term"], "left_semi").collect())
+
     return Model(most(words.withColumn("n_order", F.lit(0)), WORDS) + most(found, GRAMS))
 
 
@@ -145,7 +153,7 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         predictor = Predictor(shared.value)
-        for b in batches:
+        for b in (b.slice(at, 1024) for b in batches for at in range(0, b.num_rows, 1024)):
             lang, score = zip(*[predictor.predict(t.as_py()) for t in b.column("text")], strict=True) if b.num_rows else ((), ())
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(lang, pa.string()), pa.array(score, pa.float64())], names=["doc_id", "lang_pred", "score"])
 

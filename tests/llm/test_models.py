@@ -319,6 +319,65 @@ def test_language_of_awkward_rows(spark):
     assert {r["lang_pred"] for r in langid.identify(docs, langid.train(none)).collect()} == {"und"}
 
 
+def slow_model(docs):
+    """Counts by hand: words of at least ``LEAST`` in some language, and n-grams of all words, with their counts in all languages."""
+    words, grams = defaultdict(int), defaultdict(int)
+    for text, lang in docs:
+        for w in re.findall(r"[^\W\d_]+", text.lower()):
+            words[w, lang] += 1
+    for (w, lang), n in words.items():
+        for order in (1, 2, 3, 4):
+            p = w if order == 1 else f" {w} "
+            for i in range(len(p) - order + 1):
+                grams[order, p[i : i + order], lang] += n
+    known = {w for (w, _), n in words.items() if n >= langid.LEAST}
+    parts = {(o, t) for (o, t, _), n in grams.items() if n >= langid.LEAST}
+    return sorted([(0, w, lang, n) for (w, lang), n in words.items() if w in known] + [(o, t, lang, n) for (o, t, lang), n in grams.items() if (o, t) in parts])
+
+
+def test_language_model_and_scores_by_brute_force(spark):
+    """Counts, and each text's log likelihoods by word or by the longest known n-grams, computed plainly."""
+    rows = [(r["doc_id"], r["text"], r["lang"]) for r in spark.read.parquet(f"{DATA}/documents.parquet").collect()] + [(None, "zwei words", "xx"), (7_001, None, "de"), (7_002, "und qwx", None)]
+    table = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    from zlib import crc32
+
+    counts = slow_model([(t, lang) for i, t, lang in rows if t is not None and lang is not None and crc32(("" if i is None else str(i)).encode()) % 3 != 1])
+    model = langid.train(table)
+    slow = langid.Model(counts)
+    assert model.languages == slow.languages
+    for order in (0, 1, 2, 3, 4):
+        assert model.tables[order].keys() == slow.tables[order].keys()
+    langs = sorted({c[2] for c in counts})
+    totals, sizes, at = defaultdict(float), defaultdict(set), {}
+    for o, t, lang, n in counts:
+        totals[o, lang] += n
+        sizes[o].add(t)
+        at[o, t, lang] = n
+    log = lambda o, t, lang: np.log((at.get((o, t, lang), 0) + 0.5) / (totals[o, lang] + 0.5 * (len(sizes[o]) + 1)))
+
+    def of(word, lang):
+        if word in sizes[0]:
+            return log(0, word, lang)
+        for o in (4, 3, 2, 1):
+            p = word if o == 1 else f" {word} "
+            if found := [g for g in (p[i : i + o] for i in range(len(p) - o + 1)) if g in sizes[o]]:
+                return sum(log(o, g, lang) for g in found) / len(found)
+        return 0.0
+
+    got = {(r["doc_id"], r["lang_pred"], round(r["score"], 6)) for r in langid.identify(table, model).collect()}
+    expected = set()
+    for i, t, _ in rows:
+        words = re.findall(r"[^\W\d_]+", (t or "").lower())
+        if not any(c.isalpha() for w in words for c in w):
+            expected.add((i, "und", 0.0))
+            continue
+        logs = [sum(of(w, lang) for w in words) for lang in langs]
+        best = max(range(len(langs)), key=lambda k: (logs[k], -k))
+        expected.add((i, langs[best], round(1 / sum(np.exp(x - logs[best]) for x in logs), 6)))
+    assert len(got ^ expected) <= 2  # sums in another order may round to another last digit
+    assert {g[:2] for g in got} == {e[:2] for e in expected}
+
+
 def slow_parts(url):
     if not url or "://" not in url:
         return "", ""

@@ -1,9 +1,7 @@
-"""Queries of this subpackage for the driver, and the SQL that DuckDB runs beside them."""
+"""Queries of this subpackage, and the SQL that DuckDB runs beside them."""
 
 from __future__ import annotations
 
-import corpus_pipeline
-
 from . import exact_dedup, langid, mixing, packing, sharding, simhash, token_counts, topk, toxicity, url_filter
 
 QUERIES = {
@@ -17,7 +15,6 @@ QUERIES = {
     "op8_langid": langid.op8_langid,
     "op9_token_counts": token_counts.op9_token_counts,
     "op10_topk": topk.op10_topk,
-    "pipeline": corpus_pipeline.run,
 }
 
 ORACLES = {
@@ -27,5 +24,3 @@ ORACLES = {
     "op4_exact_dedup": exact_dedup.ORACLE,
     "op10_topk": topk.ORACLE,
 }
-if corpus_pipeline.ORACLE_SQL:
-    ORACLES["pipeline"] = corpus_pipeline.ORACLE_SQL

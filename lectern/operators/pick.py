@@ -8,6 +8,8 @@ from ..functions import scalars as sc
 
 #: Larger distances never win (the bound a search starts with: the largest 32-bit float).
 FARTHEST = 3.4028234663852886e38
+#: Clicks that are sent to the nodes at once; picks up to which their ids are.
+CLICKS = 10_000
 
 
 def _near(nodes: DataFrame, gx: Column, gy: Column, single: bool) -> DataFrame:
@@ -26,18 +28,22 @@ def pick(nodes: DataFrame, cx: float, cy: float, width: float = sc.WIDTH, height
     return best.where("best is not null").select("best.*")
 
 
-def pick_many(nodes: DataFrame, clicks: DataFrame, width: float = sc.WIDTH, height: float = sc.HEIGHT) -> DataFrame:
+def pick_many(nodes: DataFrame, clicks: DataFrame, width: float = sc.WIDTH, height: float = sc.HEIGHT, block: int = CLICKS) -> DataFrame:
     """click_id, id, ord, dist: the nearest node of each click (click_id, cx, cy).
 
-    ``clicks`` is a stated query set: it is counted, and beyond 10 000 clicks taken in parts by the caller. Every
-    task keeps one candidate per click.
+    ``clicks`` is a stated query set: blocks of about ``block`` of them are sent to the nodes in turns, and every
+    task keeps one candidate per click. A click with a null place, or an empty cloud, gives no row; of clicks that repeat a
+    click_id the nearest answer counts.
     """
-    if clicks.limit(10_001).count() > 10_000:
-        raise ValueError("at most 10000 clicks at once")
     gx, gy = sc.to_clip(F.col("cx"), F.col("cy"), width, height)
-    asked = F.broadcast(clicks.select("click_id", gx.alias("gx"), gy.alias("gy")))
-    met = _near(nodes.select("ord", "id", "x", "y").crossJoin(asked), F.col("gx"), F.col("gy"), False)
-    return met.groupBy("click_id").agg(F.min_by(F.struct("id", "ord", "dist"), F.struct("dist", "ord")).alias("best")).select("click_id", "best.*")
+    asked = clicks.select("click_id", gx.alias("gx"), gy.alias("gy"))
+    blocks, found = max(1, -(-clicks.count() // block)), None
+    for i in range(blocks):
+        part = asked.where(F.pmod(F.xxhash64("click_id"), F.lit(blocks)) == i) if blocks > 1 else asked
+        met = _near(nodes.select("ord", "id", "x", "y").crossJoin(F.broadcast(part)), F.col("gx"), F.col("gy"), False)
+        best = met.groupBy("click_id").agg(F.min_by(F.struct("id", "ord", "dist"), F.struct("dist", "ord")).alias("best"))
+        found = best if found is None else found.unionByName(best)
+    return found.select("click_id", "best.*")
 
 
 def pick_topk(nodes: DataFrame, cx: float, cy: float, k: int, width: float = sc.WIDTH, height: float = sc.HEIGHT) -> DataFrame:
@@ -52,8 +58,11 @@ def details(nodes: DataFrame, node_id: str | Column) -> DataFrame:
 
 
 def picked_details(picked: DataFrame, nodes: DataFrame) -> DataFrame:
-    """The first node with each picked id: picks are few, nodes are reduced before they are joined."""
-    first = nodes.join(F.broadcast(picked.select("id").distinct()), "id", "left_semi").groupBy("id").agg(F.min_by(F.struct("group", "text"), "ord").alias("n"))
+    """The first node with each picked id: nodes are reduced before they are joined. A pick without a node, or a null
+    id, gives no row; repeated picks give each."""
+    ids = picked.select("id").distinct()
+    few = ids.limit(CLICKS + 1).count() <= CLICKS
+    first = nodes.join(F.broadcast(ids) if few else ids, "id", "left_semi").groupBy("id").agg(F.min_by(F.struct("group", "text"), "ord").alias("n"))
     return picked.join(first, "id").select(*picked.columns, "n.group", "n.text")
 
 

@@ -14,7 +14,7 @@ from ..functions import scalars as sc, text as tx
 from ..operators import align, groups, links as lk, markup, passages, pick as pk, terms, topics
 from ..sources import nodes_json, usx
 from ..streaming import snapshots
-from . import sample
+from . import sample, usx_sql
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -306,38 +306,38 @@ def _sample(spark: SparkSession) -> DataFrame:
     return usx.annotate(usx.tokenise(sample.files(spark)))
 
 
-@query()
+@query(usx_sql.VERSES)
 def usx_verses(spark, sf):
     return usx.verses(_sample(spark))
 
 
-@query()
+@query(usx_sql.NOTES)
 def usx_notes(spark, sf):
     return usx.notes(_sample(spark))
 
 
-@query()
+@query(usx_sql.SPANS)
 def usx_spans(spark, sf):
     return usx.spans(_sample(spark))
 
 
-@query()
+@query(usx_sql.HEADINGS)
 def usx_headings(spark, sf):
     return usx.headings(_sample(spark))
 
 
-@query()
+@query(usx_sql.CROSSREFS)
 def usx_crossrefs(spark, sf):
     rows = _sample(spark)
     return usx.resolve(usx.crossrefs(rows), usx.verses(rows))
 
 
-@query()
+@query(usx_sql.PASSAGES)
 def usx_passages(spark, sf):
     rows = _sample(spark)
     return usx.passages(rows, "section").unionByName(usx.passages(rows, "paragraph")).unionByName(usx.passages(rows, "chapter"))
 
 
-@query()
+@query(usx_sql.ALIGNED)
 def usx_aligned(spark, sf):
     return align.side_by_side(usx.verses(_sample(spark)), ["ONE", "TWO"])

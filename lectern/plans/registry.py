@@ -33,14 +33,14 @@ def _published(name: str, rows: DataFrame, k: int = 5) -> tuple[DataFrame, DataF
 def topics(passages: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Topic shares as vectors, the dominant topic as group."""
     found = tp.lda(passages.select("id", "text")).join(passages.select("id", "text"), "id")
-    return _published("topics", found.withColumnRenamed("topics", "embedding").persist())
+    return _published("topics", found.withColumnRenamed("topics", "embedding"))
 
 
 @method("words")
 def words(passages: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Means of word vectors; no groups."""
     found = tp.term_vectors(passages.select("id", "text")).join(passages.select("id", "text"), "id")
-    return _published("words", found.withColumn("group", F.lit(None).cast("string")).persist())
+    return _published("words", found.withColumn("group", F.lit(None).cast("string")))
 
 
 @method("embeddings")

@@ -15,7 +15,9 @@ def completed(node: Column) -> list[Column]:
 
 def parse_column(df: DataFrame, name: str) -> DataFrame:
     """ord, x, y, z, id of the JSON arrays in a column; text that is no JSON array fails the query."""
-    parsed = F.from_json(F.col(name), T.ArrayType(NODE_JSON), {"mode": "FAILFAST"})
+    # Spark would take an object for an array of one
+    listed = F.when(F.col(name).rlike(r"^\s*\["), F.col(name)).when(F.col(name).isNotNull(), F.lit("[MALFORMED"))
+    parsed = F.from_json(listed, T.ArrayType(NODE_JSON), {"mode": "FAILFAST"})
     return df.select(F.posexplode(parsed).alias("ord", "node")).select(F.col("ord").cast("long").alias("ord"), *completed(F.col("node")))
 
 

@@ -10,11 +10,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window, WindowSpec, functions as F
 
 from ..functions import text as tx
+from ..operators import align
 
 #: Paragraph styles that are no verse text, even inside an open verse. Fixed values.
 HEADINGS = ("s1", "s2", "r", "h", "toc1", "toc2", "toc3", "mt", "mt1", "mt2", "usfm", "ide")
-#: Character styles may nest so deep.
-DEPTH = 4
 
 
 def _so_far() -> WindowSpec:
@@ -73,10 +72,19 @@ def annotate(tokens: DataFrame) -> DataFrame:
             "char_depth": F.sum(step("char")).over(_so_far()),
         }
     )
-    at = F.col("char_depth")
-    level = lambda i: _filled(F.when(opens("char") & (at == i), F.col("style")).when(shuts("char") & (at == i - 1), F.lit("")))
-    rows = rows.withColumn("styles", F.filter(F.array(*[level(i) for i in range(1, DEPTH + 1)]), lambda s: s != ""))
-    return rows.withColumn("is_text", ~t.startswith("<"))
+    return rows.withColumns({"is_text": ~t.startswith("<"), "opens_char": opens("char")})
+
+
+def levels(tokens: DataFrame) -> DataFrame:
+    """Text tokens within character styles, once for each style that is open there, with level (from 1) and style.
+
+    A text at depth n takes the style that was opened last at each level up to n, so styles may nest to any depth.
+    """
+    depth = F.col("char_depth")
+    rows = tokens.where(F.col("opens_char") | (F.col("is_text") & (depth > 0)))
+    rows = rows.withColumn("level", F.explode(F.when(F.col("opens_char"), F.array(depth)).otherwise(F.sequence(F.lit(1).cast("long"), depth))))
+    at_level = Window.partitionBy("version", "book", "level").orderBy("pos").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    return rows.withColumn("style", F.last(F.when(F.col("opens_char"), F.col("style")), ignorenulls=True).over(at_level)).where("is_text")
 
 
 def _joined(order: str = "pos", piece: str = "tok") -> Column:
@@ -109,16 +117,17 @@ def passages(tokens: DataFrame, grain: str = "verse") -> DataFrame:
 
 def spans(tokens: DataFrame) -> DataFrame:
     """version, ref, pos, style, text: styled runs of verse text, once for each style that is open."""
-    styled = _verse_text(tokens).where(F.size("styles") > 0)
-    return styled.select("version", "ref", "pos", F.explode("styles").alias("style"), tx.collapse(tx.unescape(F.col("tok"))).alias("text"))
+    return _verse_text(levels(tokens)).select("version", "ref", "pos", "style", tx.collapse(tx.unescape(F.col("tok"))).alias("text"))
 
 
 def notes(tokens: DataFrame) -> DataFrame:
     """version, ref, pos, caller, fr, ft: footnotes; the origin is written with a colon."""
-    of = lambda s: F.when(F.col("is_text") & F.array_contains("styles", s), F.col("tok")).otherwise("")
-    rows = tokens.where("note_depth > 0").select("version", "book", "note_no", "ref", "pos", tx.attribute(F.col("tok"), "caller").alias("caller"), of("fr").alias("fr"), of("ft").alias("ft"))
-    grouped = rows.groupBy("version", "book", "note_no").agg(F.min_by("ref", "pos").alias("ref"), F.min("pos").alias("pos"), F.max("caller").alias("caller"), _joined(piece="fr").alias("fr"), _joined(piece="ft").alias("ft"))
-    return grouped.select("version", "ref", "pos", "caller", F.regexp_replace(tx.collapse(tx.unescape(F.col("fr"))), r"\.", ":").alias("fr"), tx.collapse(tx.unescape(F.col("ft"))).alias("ft"))
+    note = ("version", "book", "note_no")
+    found = tokens.where("note_depth > 0").groupBy(*note).agg(F.min_by("ref", "pos").alias("ref"), F.min("pos").alias("pos"), F.max(tx.attribute(F.col("tok"), "caller")).alias("caller"))
+    parts = levels(tokens.where("note_depth > 0")).where(F.col("style").isin("fr", "ft")).select(*note, "pos", "style", "tok").distinct()
+    of = lambda s: F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col("style") == s, F.struct("pos", "tok")))), lambda x: x["tok"]), "").alias(s)
+    met = found.join(parts.groupBy(*note).agg(of("fr"), of("ft")), list(note), "left").fillna("", ["fr", "ft"])
+    return met.select("version", "ref", "pos", "caller", F.regexp_replace(tx.collapse(tx.unescape(F.col("fr"))), r"\.", ":").alias("fr"), tx.collapse(tx.unescape(F.col("ft"))).alias("ft"))
 
 
 def headings(tokens: DataFrame) -> DataFrame:
@@ -139,21 +148,21 @@ def crossrefs(tokens: DataFrame) -> DataFrame:
     return rows.select("*", tx.target(F.col("loc")).alias("t")).select("version", "book", "pos", "loc", "from_ref", "t.*")
 
 
-def resolve(crossrefs: DataFrame, verses: DataFrame) -> DataFrame:
-    """Cross-references with resolved and n_verses: a range join within version and book; dangling ones stay."""
+def _targets(crossrefs: DataFrame, verses: DataFrame) -> DataFrame:
+    """Cross-references with each verse (to_ref) of their targets: a binned range join, a chapter to a bin."""
     place = lambda c, v: c * 1000 + v
-    spot = verses.select(F.col("version").alias("_version"), F.col("book").alias("_book"), place(F.col("chapter"), F.col("verse")).alias("_place"), F.col("ref").alias("_ref"))
-    low = place(F.col("c1"), F.coalesce("v1", F.lit(0)))
-    high = place(F.col("c2"), F.coalesce("v2", F.lit(999)))
-    met = crossrefs.join(spot, (F.col("version") == F.col("_version")) & (F.col("t_book") == F.col("_book")) & F.col("_place").between(low, high), "left")
-    n = F.count("_ref")
-    return met.groupBy(*crossrefs.columns).agg((n > 0).alias("resolved"), n.cast("int").alias("n_verses"))
+    spot = verses.select("version", F.col("book").alias("t_book"), place(F.col("chapter"), F.col("verse")).alias("place"), F.col("ref").alias("to_ref"))
+    ranges = crossrefs.withColumns({"low": place(F.col("c1"), F.coalesce("v1", F.lit(0))), "high": place(F.col("c2"), F.coalesce("v2", F.lit(999)))})
+    return align.range_join(ranges, spot, "low", "high", "place", 1000, ("version", "t_book"))
+
+
+def resolve(crossrefs: DataFrame, verses: DataFrame) -> DataFrame:
+    """Cross-references (one per version, book and pos) with resolved and n_verses; dangling ones stay."""
+    met = _targets(crossrefs, verses).groupBy("version", "book", "pos").agg(F.count("*").cast("int").alias("n"))
+    n = F.coalesce("n", F.lit(0))
+    return crossrefs.join(met, ["version", "book", "pos"], "left").select(*crossrefs.columns, (n > 0).alias("resolved"), n.alias("n_verses"))
 
 
 def crossref_links(crossrefs: DataFrame, verses: DataFrame) -> DataFrame:
     """src, dst, weight: from the verse under a parallel reference to each verse of its target."""
-    place = lambda c, v: c * 1000 + v
-    spot = verses.select(F.col("version").alias("_version"), F.col("book").alias("_book"), place(F.col("chapter"), F.col("verse")).alias("_place"), F.col("ref").alias("dst"))
-    within = F.col("_place").between(place(F.col("c1"), F.coalesce("v1", F.lit(0))), place(F.col("c2"), F.coalesce("v2", F.lit(999))))
-    met = crossrefs.join(spot, (F.col("version") == F.col("_version")) & (F.col("t_book") == F.col("_book")) & within)
-    return met.select("version", F.col("from_ref").alias("src"), "dst").distinct().withColumn("weight", F.lit(1.0))
+    return _targets(crossrefs, verses).select("version", F.col("from_ref").alias("src"), F.col("to_ref").alias("dst")).distinct().withColumn("weight", F.lit(1.0))

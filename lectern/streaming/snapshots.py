@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
@@ -25,12 +26,32 @@ def changes_of(spark: SparkSession, folder: str, table: str = "events.parquet")
     return spark.readStream.schema(EVENTS).option("pathGlobFilter", "*.parquet").parquet(f"{folder}/{table}")
 
 
-def run_available(rows: DataFrame, mode: str = "complete") -> DataFrame:
-    """Runs a stream over what there is and returns what its sink holds (a memory sink: for results of bounded size)."""
-    name = f"snapshot_{uuid.uuid4().hex}"
-    query = rows.writeStream.outputMode(mode).format("memory").queryName(name).trigger(availableNow=True).start()
-    query.awaitTermination()
-    return rows.sparkSession.table(name)
+def _folder(spark: SparkSession) -> str:
+    """A new folder where driver and executors both write: in ``spark.checkpoint.dir``, or in a local session's own."""
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root and not spark.sparkContext._jsc.sc().isLocal():
+        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+    return f"{(root or tempfile.mkdtemp(prefix='lectern-')).rstrip('/')}/snapshot-{uuid.uuid4().hex}"
+
+
+def run_available(rows: DataFrame, mode: str = "complete", folder: str | None = None) -> DataFrame:
+    """Runs a stream over what there is and returns its result, which each batch writes under ``folder``.
+
+    In complete mode the last batch is the result; in append mode all are. Nothing passes through the driver. A batch
+    that runs again replaces its own files.
+    """
+    spark, folder = rows.sparkSession, folder or _folder(rows.sparkSession)
+    seen: list[int] = []
+
+    def write(batch: DataFrame, n: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{folder}/rows/batch={n}")
+        seen.append(n)
+
+    rows.writeStream.outputMode(mode).foreachBatch(write).option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start().awaitTermination()
+    if not seen:
+        return spark.createDataFrame([], rows.schema)
+    paths = [f"{folder}/rows/batch={n}" for n in (sorted(set(seen))[-1:] if mode == "complete" else sorted(set(seen)))]
+    return spark.read.schema(rows.schema).parquet(*paths)
 
 
 class Subscription:

@@ -1,14 +1,16 @@
 """Picking, lookup, JSON, the store, links and groups."""
 
+import itertools
 import json
 import math
+import random
 
 import pytest
 from pyspark.sql import functions as F
 
 from lectern.api import Lectern
 from lectern.functions import scalars as sc
-from lectern.operators import groups, links as lk, pick as pk
+from lectern.operators import align, groups, links as lk, markup, passages, pick as pk, terms
 from lectern.sources import nodes_json
 from lectern.sources.store import Store
 
@@ -55,6 +57,75 @@ def test_pick_many_and_topk(spark):
     assert [r["id"] for r in pk.pick_topk(nodes, 800, 0, 2).collect()] == ["b", "a"]
 
 
+def test_pick_many_in_blocks(spark):
+    """More clicks than are sent at once; null places and repeated clicks; an empty cloud."""
+    nodes = cloud(spark, [(i % 7 / 3 - 1, i % 5 / 2 - 1, 0, f"n{i}") for i in range(35)])
+    rows = [(i, i * 31.0 % 800, i * 17.0 % 600) for i in range(60)] + [(60, None, 1.0), (3, 93.0, 51.0)]
+    clicks = spark.createDataFrame(rows, "click_id int, cx double, cy double")
+    many = {r["click_id"]: (r["id"], r["ord"]) for r in pk.pick_many(nodes, clicks, block=9).collect()}
+    assert many == {r["click_id"]: (r["id"], r["ord"]) for r in pk.pick_many(nodes, clicks).collect()} and many.keys() == set(range(60))
+    assert pk.pick_many(nodes.where("false"), clicks).count() == 0 and pk.pick_many(nodes, clicks.where("false")).count() == 0
+
+
+def test_range_join_on_keys(spark):
+    ranges = spark.createDataFrame([("a", 1, 200, "x"), ("a", 5, 4, "x"), ("b", 0, 3, "y"), (None, 0, 9, "z"), ("a", None, 3, "x")], "k string, lo int, hi int, _bin string")
+    points = spark.createDataFrame([("a", 1, 1), ("a", 200, 2), ("a", 201, 3), ("b", 3, 4), (None, 3, 5), ("b", None, 6)], "k string, at int, BIN int")
+    got = align.range_join(ranges, points, "lo", "hi", "at", 10, ("k",))
+    assert set(got.columns) == {"k", "lo", "hi", "_bin", "at", "BIN"}
+    assert sorted((r["k"], r["at"], r["_bin"]) for r in got.collect()) == [("a", 1, "x"), ("a", 200, "x"), ("b", 3, "y")]
+    assert align.range_join(ranges.where("false"), points, "lo", "hi", "at", 10, ("k",)).count() == 0
+
+
+def test_nulls_repeats_and_empty_tables(spark):
+    """Core operators keep to what their docstrings say of awkward rows."""
+    a = spark.createDataFrame([(1, "x"), (1, "x"), (None, "n")], "id int, left string")
+    b = spark.createDataFrame([(1, "y"), (2, "z"), (None, "m")], "id int, right string")
+    assert align.align(a, b, "id").count() == 5 and align.align(a.where("false"), b, "id").count() == 3
+    assert align.only_in(b, a, "id").count() == 2 and align.only_in(a, b.where("false"), "id").count() == 3
+    texts = spark.createDataFrame([(1, "Word word"), (2, None), (3, ""), (4, "b " * 50_000), (1, "word")], "id int, text string")
+    assert {(r["id"], r["term"], r["tf"]) for r in terms.bag(texts).collect()} == {(1, "word", 3), (4, "b", 50_000)}
+    assert terms.search(texts, "WORD").count() == 2 and terms.concordance(texts, "word", 1).count() == 3
+    assert terms.tfidf(texts.where("false")).count() == 0
+    units = spark.createDataFrame([("c", 2, "b"), ("c", 1, "a"), ("c", 3, None), ("d", None, "x")], "g string, n int, t string")
+    assert {(r["g"], r["n"], r["text"]) for r in passages.concat(units, "g", "n", "t").collect()} == {("c", 3, "a b"), ("d", 1, "x")}
+    pages = spark.createDataFrame([(1, None), (2, ""), (3, "<p>a<br>b</p>")], "page_id int, html string")
+    assert {r["page_id"]: r["text"] for r in markup.page_text(pages).collect()} == {1: None, 2: "", 3: "a b"}
+    assert markup.depth(markup.tokens(pages)).where("page_id = 3").orderBy("pos").select("depth").collect()[-1][0] == 0
+    none = spark.createDataFrame([], "id long, embedding array<float>")
+    assert lk.topk_cosine(none, 2).count() == 0
+    odd = spark.createDataFrame([(1, [0.0, 0.0]), (2, [1.0, 0.0]), (3, None), (None, [1.0, 1.0]), (4, [2.0, 0.0])], "id long, embedding array<float>")
+    assert {(r["src"], r["dst"], r["sim"]) for r in lk.topk_cosine(odd, 1).collect()} == {(1, 2, 0.0), (2, 4, 1.0), (4, 2, 1.0)}
+
+
+def test_methods_end_to_end(spark, tmp_path):
+    """The registered methods topics and words, from passages to stored nodes and links."""
+    subjects = [["river", "sea", "water", "boat"], ["hill", "stone", "peak", "snow"]]
+    rows = [(i, " ".join(subjects[i % 2][(i + j) % 4] for j in range(12))) for i in range(24)]
+    page = Lectern(spark, str(tmp_path))
+    for name in ("topics", "words"):
+        page.build(name, spark.createDataFrame(rows, "id long, text string"))
+        nodes, links = page.get_data(name)
+        assert nodes.count() == 24 and links.count() == 24 * 5
+        assert all(abs(r[c]) <= 1 for r in nodes.collect() for c in "xyz")
+        assert {r["text"] for r in nodes.collect()} == {t for _, t in rows}
+    assert {r["method"]: r["n_nodes"] for r in page.store.methods().collect()} == {"topics": 24, "words": 24}
+    assert sum(r["n"] for r in page.get_topics("topics").collect()) == 24
+
+
+def test_lsh_recall(spark):
+    rng = random.Random(4)
+    rows = []
+    for i in range(150):
+        base = [rng.gauss(0, 1) for _ in range(8)]
+        rows += [(2 * i, base), (2 * i + 1, [x + rng.gauss(0, 0.15) for x in base])]
+    nodes = spark.createDataFrame(rows, "id long, embedding array<double>")
+    unit = {i: [x / math.sqrt(sum(y * y for y in v)) for x in v] for i, v in rows}
+    near = {(a, b) for a, b in itertools.combinations(unit, 2) if math.dist(unit[a], unit[b]) < 0.3}
+    got = {(r["src"], r["dst"]) for r in lk.near_lsh(nodes, 0.3).collect()}
+    assert got <= {(a, b) for a, b in itertools.combinations(unit, 2) if math.dist(unit[a], unit[b]) < 0.3 + 1e-9}
+    assert len(got & near) >= 0.9 * len(near) > 90
+
+
 def test_duplicate_ids_give_the_first(spark):
     nodes = cloud(spark, [(0, 0, 0, "a"), (1, 1, 0, "a")]).withColumn("text", F.col("ord").cast("string"))
     assert pk.details(nodes, "a").first()["text"] == "0"
@@ -70,8 +141,9 @@ def test_json(spark):
     rows = [tuple(r) for r in nodes_json.load(spark, '[{"id":"a"},{"x":1.5,"y":2,"z":-1,"id":"b","group":"g"},{}]').collect()]
     assert rows == [(0, 0.0, 0.0, 0.0, "a"), (1, 1.5, 2.0, -1.0, "b"), (2, 0.0, 0.0, 0.0, "")]
     assert nodes_json.load(spark, "[]").count() == 0
-    with pytest.raises(ValueError):
-        nodes_json.load(spark, "[{bad")
+    for bad in ("[{bad", '{"id":"a"}', "3", "", '"[]"'):
+        with pytest.raises(ValueError):
+            nodes_json.load(spark, bad)
     dumped = nodes_json.dump(cloud(spark, [(0, 1, 2, "a"), (3, 4, 5, "b")]), per=1).orderBy("chunk").collect()
     assert [json.loads(r["json"]) for r in dumped] == [[{"x": 0.0, "y": 1.0, "z": 2.0, "id": "a"}], [{"x": 3.0, "y": 4.0, "z": 5.0, "id": "b"}]]
 

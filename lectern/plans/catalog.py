@@ -12,7 +12,8 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions import scalars as sc, text as tx
 from ..operators import align, groups, links as lk, markup, passages, pick as pk, terms, topics
-from ..sources import nodes_json, usx
+from ..sources import nodes_json, shared, usx
+from ..sources.store import Store
 from ..streaming import snapshots
 from . import sample, usx_sql
 
@@ -82,6 +83,23 @@ def pick_nearest(spark, sf):
     return pk.pick(nodes(spark, sf), *CLICK)
 
 
+@query(f"WITH n AS ({NODES}) SELECT method, ord, id, x, y, z, \"group\" FROM n WHERE method = 'odd'")
+def nodes_stored(spark, sf):
+    """Snapshots of both methods written to a store, one replaced by itself; one method read by its partition."""
+    store = Store(spark, shared.folder(spark, "store"))
+    for method in ("even", "odd", "odd"):
+        store.replace("nodes", method, nodes(spark, sf).where(F.col("method") == method))
+    return store.nodes("odd").drop("text")
+
+
+@query("SELECT 'made' AS method, vec_id::VARCHAR AS src, (vec_id * 3 + 1)::VARCHAR AS dst, 1::DOUBLE AS weight FROM embeddings")
+def links_stored(spark, sf):
+    """Links written to a store and read by their method."""
+    store = Store(spark, shared.folder(spark, "store"))
+    store.replace("links", "made", made_links(spark, sf).withColumn("weight", F.lit(1.0)))
+    return store.links("made")
+
+
 def _clicks(spark: SparkSession) -> DataFrame:
     n = F.col("id")
     return spark.range(25).select(n.alias("click_id"), ((n % 5) * 200.0).alias("cx"), (F.floor(n / 5) * 150.0).alias("cy"))
@@ -303,7 +321,8 @@ def links_lsh(spark, sf):
 
 
 def _sample(spark: SparkSession) -> DataFrame:
-    return usx.annotate(usx.tokenise(sample.files(spark)))
+    """The sample's files, written to a shared folder and read like any corpus."""
+    return usx.annotate(usx.tokenise(usx.read_files(spark, sample.written(spark))))
 
 
 @query(usx_sql.VERSES)

@@ -7,6 +7,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ..sources import shared
+
 FIRST = """<?xml version="1.0" encoding="utf-8"?>
 <usx version="3.0">
   <book code="GEN" style="id">- First Edition</book>
@@ -49,5 +51,13 @@ SECOND = """﻿<?xml version="1.0" encoding="utf-8"?>\r
 """
 
 
+def written(spark: SparkSession) -> str:
+    """A new shared folder with the sample as <version>/<book>.usx."""
+    root = shared.folder(spark, "sample")
+    for version, text in (("ONE", FIRST), ("TWO", SECOND)):
+        shared.write_text(spark, f"{root}/{version}/GEN.usx", text)
+    return root
+
+
 def files(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame([("ONE", FIRST), ("TWO", SECOND)], "version string, value string")

@@ -2,13 +2,11 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ..schema import EVENTS
+from ..sources import shared
 from ..sources.store import Store
 
 
@@ -26,21 +24,13 @@ def changes_of(spark: SparkSession, folder: str, table: str = "events.parquet")
     return spark.readStream.schema(EVENTS).option("pathGlobFilter", "*.parquet").parquet(f"{folder}/{table}")
 
 
-def _folder(spark: SparkSession) -> str:
-    """A new folder where driver and executors both write: in ``spark.checkpoint.dir``, or in a local session's own."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root and not spark.sparkContext._jsc.sc().isLocal():
-        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
-    return f"{(root or tempfile.mkdtemp(prefix='lectern-')).rstrip('/')}/snapshot-{uuid.uuid4().hex}"
-
-
 def run_available(rows: DataFrame, mode: str = "complete", folder: str | None = None) -> DataFrame:
     """Runs a stream over what there is and returns its result, which each batch writes under ``folder``.
 
     In complete mode the last batch is the result; in append mode all are. Nothing passes through the driver. A batch
     that runs again replaces its own files.
     """
-    spark, folder = rows.sparkSession, folder or _folder(rows.sparkSession)
+    spark, folder = rows.sparkSession, folder or shared.folder(rows.sparkSession, "snapshot")
     seen: list[int] = []
 
     def write(batch: DataFrame, n: int) -> None:

@@ -89,6 +89,38 @@ def test_subscription_keeps_one_method_live(spark, tmp_path):
     assert not live.queries
 
 
+def test_subscription_of_links_and_ticks(spark, tmp_path):
+    """Links are a stream of their own beside the nodes; progress is that of the method now live."""
+    store, live = Store(spark, str(tmp_path / "store")), None
+    for kind, schema, row in (("nodes", "ord long, id string, x float, y float, z float", (0, "p", 0.0, 0.0, 0.0)), ("links", "src string, dst string, weight double", ("p", "q", 0.5))):
+        spark.createDataFrame([row], schema).coalesce(1).write.parquet(str(tmp_path / kind))
+    live = snapshots.Subscription(store, str(tmp_path / "ckpt"), trigger={"availableNow": True})
+    assert live.elapsed() == []
+    live.select("m", nodes=spark.readStream.schema("ord long, id string, x float, y float, z float").parquet(str(tmp_path / "nodes")), links=spark.readStream.schema("src string, dst string, weight double").parquet(str(tmp_path / "links")))
+    assert len(live.queries) == 2
+    for q in live.queries:
+        q.awaitTermination()
+    assert [(r["src"], r["dst"], r["weight"]) for r in store.links("m").collect()] == [("p", "q", 0.5)]
+    assert len(live.elapsed()) == 2 and all(p["numInputRows"] > 0 for p in live.elapsed())
+    assert snapshots.Subscription(store, "x").trigger == {"processingTime": "1 second"}
+    live.select("other", nodes=spark.readStream.schema("ord long, id string, x float, y float, z float").parquet(str(tmp_path / "nodes")))
+    assert len(live.queries) == 1 and live.method == "other"
+    live.stop()
+    assert live.elapsed() == [] and store.links("m").count() == 1
+
+
+def test_stream_results_of_several_batches(spark, tmp_path):
+    """Append mode gives all batches, complete mode the last; a feed without rows gives none."""
+    schema = "k int, n int"
+    for i in range(3):
+        spark.createDataFrame([(j, i) for j in range(4)], schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "feed"))
+    feed = lambda: spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "feed"))
+    assert snapshots.run_available(feed(), "append").count() == 12
+    assert sorted(map(tuple, snapshots.run_available(snapshots.latest(feed(), "k", ["n"], ["n"])).collect())) == [(j, 2) for j in range(4)]
+    (tmp_path / "none").mkdir()
+    assert snapshots.run_available(spark.readStream.schema(schema).parquet(str(tmp_path / "none")), "append").count() == 0
+
+
 def _plain(v):
     if isinstance(v, float):
         return round(v, 9)

@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+import unicodedata
 import zlib
 from collections import defaultdict
 
@@ -147,6 +148,15 @@ def test_encoder_equals_the_library(spark, tokenizer):
         assert count.encode(text) == len(e.ids)
 
 
+def test_every_code_point(tokenizer):
+    """Each assigned code point alone, after a letter and before a space gets the library's number of tokens."""
+    e = Encoder(vocabulary(), counts_only=True)
+    assigned = [chr(c) for c in range(0x110000) if not 0xD800 <= c <= 0xDFFF and unicodedata.category(chr(c)) not in ("Cn", "Co")]
+    texts = ["".join(f"a{c}{c} {c}b" for c in assigned[at : at + 40]) for at in range(0, len(assigned), 40)]
+    for text, known in zip(texts, tokenizer.encode_batch(texts, add_special_tokens=False), strict=True):
+        assert e.encode(text) == len(known.ids), text
+
+
 @pytest.mark.parametrize("name", ["word_bpe_49k.json", "piece_bpe_32k.model"])
 def test_other_tokenizers_encode_whole_texts(name):
     path = vocabulary(name)

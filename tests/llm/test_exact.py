@@ -392,6 +392,14 @@ def test_contradicting_marginals_are_reported(spark):
     assert gap > 0.5
 
 
+def test_very_long_texts_are_mixed_and_sharded(spark):
+    rows = spark.createDataFrame([(i, "word " * (60_000 if i == 3 else 5), "en", "s", 1) for i in range(40)] + [(None, None, None, None, None)], "doc_id long, text string, lang string, source string, n_chars long")
+    mixed = {r["doc_id"]: r for r in mixing.mix(rows).collect()}
+    assert mixed[3]["_tokens"] == 75_000 and len(mixed) == 41 and all(0 <= r["probability"] <= 1 for r in mixed.values())
+    plain = rows.select("doc_id", F.octet_length(F.coalesce("text", F.lit(""))).alias("size"))
+    assert max(r["size"] for r in sharding.number(sharding.assign(plain, 4), 41, "doc_id", ["size"]).collect()) == 300_000
+
+
 def test_mixing_by_given_topics_and_counts(spark):
     rows = spark.createDataFrame([(i, "t", "en", "s", "kind" + str(i % 2), 10, 0.5) for i in range(50)], "doc_id long, text string, lang string, source string, subject string, n long, cell_probability double")
     got = mixing.mix(rows, topic_of=F.col("subject"), tokens_of=F.col("n"))

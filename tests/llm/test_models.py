@@ -455,6 +455,12 @@ def test_propagation_equals_sql(spark):
     assert sum(r[names.index("trust")] > 0 for r in got) > len(pages) / 3
 
 
+def test_very_long_addresses_and_pages(spark):
+    pages = [(0, "http://bad.net/es/" + "x" * 300_000, ""), (1, "http://" + "h" * 50_000 + ".org/", "y" * 400_000 + "<a href='//bad.net/" + "z" * 100_000 + "'>l</a>" + "<b>" * 50_000), (None, "http://bad.net/es/", None), (1, "", "<a href='http://bad.net'>")]
+    got = url_filter.judge(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()
+    assert sorted((r["page_id"] is None, len(r["host"]), r["verdict"]) for r in got) == [(False, 0, "allow"), (False, 7, "block"), (False, 50_004, "block"), (True, 7, "block")]
+
+
 def test_margin_moves_verdicts(spark):
     pages = [(0, "http://bad.net/es/", ""), (1, "http://c.org/", "<a href='//bad.net/x'>l</a>"), (2, "http://good.com/", "<a href='http://c.org'>l</a>")]
     table = spark.createDataFrame(pages, "page_id long, url string, html string")

@@ -112,8 +112,8 @@ LOSS = 0.002
 WIDTH = 14
 #: Rounds in which each text is compared with one text of each of its values, before all pairs between groups are.
 STARS = 2
-#: A segment's value is crowded from so many texts on.
-CROWD = 32
+#: A segment's value is crowded beyond two texts of a size class and so many times the usual number.
+CROWD = 3
 
 
 def flip_share(similarity: float) -> float:
@@ -230,8 +230,8 @@ class Similar:
 
         After ``stars``, each value's ball of radius one is looked up; of two values the one with a zero at the
         differing bit looks. Only what meets between different groups is kept, so a group's own pairs are never rows. What
-        meets is compared over 64 bits that are in no segment and travel with it, then over all. At values that ``CROWD`` nodes
-        or more share (near copies of one text, texts around a common passage), whole fingerprints travel and the lookup
+        meets is compared over 64 bits that are in no segment and travel with it, then over all. At values that far more nodes
+        than usual share (``CROWD``; near copies of one text, texts around a common passage), whole fingerprints travel and the lookup
         itself compares them; there, nodes of the value's largest group do not look at that group. What is left is decided on whole sets.
         """
         star, groups = self.stars()
@@ -245,8 +245,9 @@ class Similar:
         masks = F.array(F.lit(0).cast("long"), *[F.lit(1 << i).cast("long") for i in range(self.width)])
         ball = F.explode(F.filter(masks, lambda m: F.col("value").bitwiseAND(m) == 0)).alias("mask")
         asked = rows.select("id", "head", "group", "class", "value", ball).select("id", "head", "group", put(F.col("value").bitwiseXOR(F.col("mask")), F.col("class")))
-        # a key with so many entries has a third of them from one class of sizes at least
-        many = entries(rows.groupBy("value", "class").count().where(F.col("count") * 3 >= CROWD)).distinct()
+        counts = stored(rows.groupBy("value", "class").count(), "near-counts")
+        usual = rows.count() / (self.segments * 2**self.width * max(1, counts.select("class").distinct().count()))
+        many = entries(counts.where(F.col("count") > 2 + CROWD * usual)).distinct()
         crowded = bounded(stored(many, "near-crowded"))
         most = table.join(crowded, "key", "left_semi").groupBy("key", "group").count().groupBy("key").agg(F.max_by("group", F.struct("count", "group")).alias("most"))
         most = bounded(stored(most, "near-most"))

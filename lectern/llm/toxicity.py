@@ -214,7 +214,10 @@ def train(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS) -> M
     rows = docs.join(known, F.col("doc_id") == F.col(doc)).select(F.col("doc_id").cast("long").alias("doc_id"), F.col(toxic).alias("toxic"), F.col("text").cast("string").alias("text"))
     table = rows.mapInArrow(run, "doc_id long, toxic int, found array<int>").toArrow()
     table = table.append_column("n", pc.list_value_length(table["found"])).sort_by([("doc_id", "ascending"), ("toxic", "ascending"), ("n", "ascending")])
-    return fit([f.values.to_numpy() for f in table["found"]], table["toxic"].to_numpy().astype(float))
+    machine = fit([f.values.to_numpy() for f in table["found"]], table["toxic"].to_numpy().astype(float))
+    del table
+    pa.default_memory_pool().release_unused()
+    return machine
 
 
 def score(docs: DataFrame, machine: Machine) -> DataFrame:

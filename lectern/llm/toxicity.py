@@ -9,7 +9,6 @@ from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from .common import bounded, free, stored
@@ -129,16 +128,22 @@ def select(found: list[np.ndarray], y: np.ndarray) -> np.ndarray:
     alone = _chi(n, n1, len(y), float(labels.sum()))
     order = np.argsort(-alone, kind="stable")
     used = np.flatnonzero(n >= LEAST)
-    place = np.full(every, -1, np.int32)
-    place[used] = np.arange(len(used), dtype=np.int32)
-    rows = [at[at >= 0] for at in (place[r] for r in found)]
+    place = np.zeros(every, np.int32)
+    place[used] = np.arange(1, len(used) + 1, dtype=np.int32)  # 0: a feature of too few rows
+    strong = order[:STRONG][n[order[:STRONG]] >= LEAST]
+    mark = np.full(every, -1, np.int32)
+    mark[strong] = np.arange(len(strong), dtype=np.int32)
+    with_it: list[list[int]] = [[] for _ in strong]
+    for i, row in enumerate(found):
+        at = mark[row]
+        for f in at[at >= 0]:
+            with_it[f].append(i)
     beside = np.zeros(len(used))
-    for f in order[:STRONG]:
-        with_it = [i for i, r in enumerate(found) if n[f] >= LEAST and (at := np.searchsorted(r, f)) < len(r) and r[at] == f]
-        positive = [i for i in with_it if labels[i]]
-        if 0 < len(positive) < len(with_it):
-            c, c1 = (np.bincount(np.concatenate([rows[i] for i in part]), minlength=len(used)) for part in (with_it, positive))
-            beside = np.maximum(beside, _chi(c, c1, len(with_it), len(positive)))
+    for members in with_it:
+        positive = [i for i in members if labels[i]]
+        if 0 < len(positive) < len(members):
+            c, c1 = (np.bincount(place[np.concatenate([found[i] for i in part])], minlength=len(used) + 1)[1:] for part in (members, positive))
+            beside = np.maximum(beside, _chi(c, c1, len(members), len(positive)))
     beside -= alone[used]
     beside[beside < 2 * np.log(max(2, len(used) * STRONG))] = 0  # so many are tried that smaller ones come by chance
     more = used[np.argsort(-beside, kind="stable")[: min(PAIRED, np.count_nonzero(beside))]]
@@ -212,8 +217,7 @@ def train(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS) -> M
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("toxic"), pa.array(found, pa.list_(pa.int32()))], names=["doc_id", "toxic", "found"])
 
     rows = docs.join(known, F.col("doc_id") == F.col(doc)).select(F.col("doc_id").cast("long").alias("doc_id"), F.col(toxic).alias("toxic"), F.col("text").cast("string").alias("text"))
-    table = rows.mapInArrow(run, "doc_id long, toxic int, found array<int>").toArrow()
-    table = table.append_column("n", pc.list_value_length(table["found"])).sort_by([("doc_id", "ascending"), ("toxic", "ascending"), ("n", "ascending")])
+    table = rows.mapInArrow(run, "doc_id long, toxic int, found array<int>").orderBy("doc_id", "toxic", F.size("found")).toArrow()
     machine = fit([f.values.to_numpy() for f in table["found"]], table["toxic"].to_numpy().astype(float))
     del table
     pa.default_memory_pool().release_unused()

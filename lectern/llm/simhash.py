@@ -111,7 +111,9 @@ LOSS = 0.002
 #: Least width of a segment; from 2**(WIDTH + 4) rows on a segment is a bit wider for each doubling, so that chance meetings do not grow.
 WIDTH = 14
 #: Rounds in which each text is compared with one text of each of its values, before all pairs between groups are.
-STARS = 2
+STARS = 3
+#: Of the texts that a text meets in a round, so many are compared whole.
+TRIED = 2
 #: A segment's value is crowded beyond two texts of a size class and so many times the usual number.
 CROWD = 3
 
@@ -209,7 +211,7 @@ class Similar:
 
     def stars(self) -> tuple[DataFrame, DataFrame]:
         """(links, id and group): each node is compared with one node of each of its values, ``STARS`` times with
-        others, and decided with the nearest of another group. That contracts large groups of near copies."""
+        others, and decided with one of another group: of the ``TRIED`` nearest by the 64 bits the first that may be similar. That contracts large groups of near copies."""
         key = lambda v: v + F.shiftleft(self.size_class(), 40)
         seen = stored(self.plain.select("id", "head", F.explode(F.transform(self.values(), key)).alias("key")), "near-values")
         groups, found = self.plain.select("id", F.col("id").alias("group")), None
@@ -218,8 +220,10 @@ class Similar:
             pick = of.groupBy("key").agg(F.min(F.struct(F.xxhash64(F.lit(i), "id").alias("order"), "id", "head", "group")).alias("c"), F.count("*").alias("n")).where("n > 1")
             pick = stored(pick.select("key", F.col("c.id").alias("b"), F.col("c.head").alias("head_b"), F.col("c.group").alias("group_b")), "near-centres")
             met = of.withColumnsRenamed({"id": "a", "head": "head_a"}).join(pick, "key").where(self.near & (F.col("group") != F.col("group_b")))
-            nearest = self.ends(met.select("a", "b").distinct()).groupBy("a").agg(F.min(F.struct(F.bit_count(F.col("fp_a")[0].bitwiseXOR(F.col("fp_b")[0])).alias("apart"), "b")).alias("c"))
-            new = self.checked(nearest.select("a", F.col("c.b").alias("b")))
+            apart = F.bit_count(F.col("head_a").bitwiseXOR(F.col("head_b"))).alias("apart")
+            few = met.groupBy("a").agg(F.slice(F.array_sort(F.collect_set(F.struct(apart, "b"))), 1, TRIED).alias("c"))  # one for each segment at most
+            fit = self.ends(few.select("a", F.explode("c").alias("c")).select("a", "c.b", "c.apart"))
+            new = self.checked(fit.groupBy("a").agg(F.min_by("b", F.struct("apart", "b")).alias("b")))
             found = new if found is None else found.unionByName(new)
             roots = components(found).select(F.col("node").alias("id"), "root")
             groups = stored(self.plain.select("id").join(roots, "id", "left").select("id", F.coalesce("root", "id").alias("group")), "near-groups")

@@ -52,6 +52,8 @@ def verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, words: int, si
             yield pa.RecordBatch.from_arrays([b.column("node"), pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64()))], names=["node", "found"])
 
     pairs = cut(pairs.distinct())
+    if pairs.isEmpty():
+        return pairs.select("a", "b")
     ends = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
     wanted = bounded(stored(nodes.select("node", "text_key").join(ends, "node"), "near-wanted"))
     texts = docs.select(F.xxhash64(text_or_empty()).alias("text_key"), text_or_empty().alias("text")).join(wanted, "text_key").select("node", "text").dropDuplicates(["node"])

@@ -211,7 +211,7 @@ class Similar:
 
     def stars(self) -> tuple[DataFrame, DataFrame]:
         """(links, id and group): each node is compared with one node of each of its values, ``STARS`` times with
-        others, and decided with one of another group: of the ``TRIED`` nearest by the 64 bits the first that may be similar. That contracts large groups of near copies."""
+        others as long as that gives links, and decided with one of another group: of the ``TRIED`` nearest by the 64 bits the first that may be similar. That contracts large groups of near copies."""
         key = lambda v: v + F.shiftleft(self.size_class(), 40)
         seen = stored(self.plain.select("id", "head", F.explode(F.transform(self.values(), key)).alias("key")), "near-values")
         groups, found = self.plain.select("id", F.col("id").alias("group")), None
@@ -225,6 +225,8 @@ class Similar:
             fit = self.ends(few.select("a", F.explode("c").alias("c")).select("a", "c.b", "c.apart"))
             new = self.checked(fit.groupBy("a").agg(F.min_by("b", F.struct("apart", "b")).alias("b")))
             found = new if found is None else found.unionByName(new)
+            if new.isEmpty():
+                break
             roots = components(found).select(F.col("node").alias("id"), "root")
             groups = stored(self.plain.select("id").join(roots, "id", "left").select("id", F.coalesce("root", "id").alias("group")), "near-groups")
         return found, groups

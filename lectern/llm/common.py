@@ -89,20 +89,36 @@ def workspace(spark: SparkSession) -> Iterator[None]:
             files.delete(there, True)
 
 
+@contextmanager
+def tidy(spark: SparkSession) -> Iterator[None]:
+    """Shuffle files of the jobs within go when each one ends, not when the driver happens to collect its garbage."""
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, "true")
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(name)
+        else:
+            spark.conf.set(name, before)
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Computes ``df`` once and cuts its lineage by a checkpoint in the shared folder, which outlives executors."""
     shared_dir(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
+def stored(df: DataFrame, name: str, path: str = "") -> DataFrame:
     """Writes ``df`` as Parquet into the shared folder and reads it back (columnar, compressed, prunable).
 
     A sum or count that is stored before it is joined has an exchange of its own there, so that Spark can split
-    the other side's hot keys.
+    the other side's hot keys. ``path``: a scratch path that was made before, so that an inner ``workspace`` leaves
+    the table; what is there already is added to.
     """
-    path = scratch(df.sparkSession, name)
-    df.write.parquet(path)
+    path = path or scratch(df.sparkSession, name)
+    df.write.mode("append").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

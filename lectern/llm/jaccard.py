@@ -9,7 +9,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import bounded, cut, stored, text_or_empty
+from .common import bounded, cut, stored, text_or_empty, workspace
 
 SEED = 42
 #: Bits of a set's parities, in words of 64: bit i tells whether an odd number of its hashes begins with i.
@@ -54,11 +54,12 @@ def verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, words: int, si
     pairs = cut(pairs.distinct())
     if pairs.isEmpty():
         return pairs.select("a", "b")
-    ends = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    wanted = bounded(stored(nodes.select("node", "text_key").join(ends, "node"), "near-wanted"))
-    texts = docs.select(F.xxhash64(text_or_empty()).alias("text_key"), text_or_empty().alias("text")).join(wanted, "text_key").select("node", "text").dropDuplicates(["node"])
-    sets = stored(texts.mapInArrow(run, "node long, found array<long>"), "near-sets")
-    for end in ("a", "b"):
-        pairs = pairs.join(sets.select(F.col("node").alias(end), F.col("found").alias(f"found_{end}")), end)
-    both = F.size(F.array_intersect("found_a", "found_b"))
-    return cut(pairs.where(both / (F.size("found_a") + F.size("found_b") - both) >= similarity).select("a", "b"))
+    with workspace(pairs.sparkSession):  # sets are larger than the texts, and go
+        ends = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+        wanted = bounded(stored(nodes.select("node", "text_key").join(ends, "node"), "near-wanted"))
+        texts = docs.select(F.xxhash64(text_or_empty()).alias("text_key"), text_or_empty().alias("text")).join(wanted, "text_key").select("node", "text").dropDuplicates(["node"])
+        sets = stored(texts.mapInArrow(run, "node long, found array<long>"), "near-sets")
+        for end in ("a", "b"):
+            pairs = pairs.join(sets.select(F.col("node").alias(end), F.col("found").alias(f"found_{end}")), end)
+        both = F.size(F.array_intersect("found_a", "found_b"))
+        return cut(pairs.where(both / (F.size("found_a") + F.size("found_b") - both) >= similarity).select("a", "b"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import partial, reduce
 from itertools import combinations
 
@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from . import jaccard
-from .common import bounded, cut, keep_judged, stored, text_or_empty
+from .common import bounded, cut, keep_judged, scratch, stored, text_or_empty, tidy, workspace
 from .components import components
 
 BITS, SEED = 64, 42
@@ -114,8 +114,10 @@ WIDTH = 14
 STARS = 3
 #: Of the texts that a text meets in a round, so many are compared whole.
 TRIED = 2
-#: A segment's value is crowded beyond two texts of a size class and so many times the usual number.
+#: A segment's value is crowded beyond two texts of a size class and so many times the usual number of that class.
 CROWD = 3
+#: Segments that are looked up at once, or as many as give so many values. A segment's lookups are some 8 to 19 slim rows a text, so a turn's shuffle is a small share of the input at any size.
+TURN, TURN_VALUES = 4, 1_000_000
 
 
 def flip_share(similarity: float) -> float:
@@ -185,10 +187,10 @@ class Similar:
         self.fits = (_apart("fp", longs) <= limit(BITS * longs)) & proved
         self.plain = nodes.where("size > 0").select(F.col("node").alias("id"), F.col("fp")[longs - 1].alias("head"), "fp", "size", "odd")
 
-    def values(self) -> Column:
+    def values(self, first: int = 0, last: int | None = None) -> Column:
         """Array of a long per segment: its number, a place for the class of sizes, its bits."""
         found = []
-        for i in range(self.segments):
+        for i in range(first, self.segments if last is None else min(last, self.segments)):
             at, off = divmod(i * self.width, BITS)
             bits = F.shiftrightunsigned(F.col("fp")[at], off)
             if off + self.width > BITS:
@@ -209,12 +211,22 @@ class Similar:
     def checked(self, pairs: DataFrame) -> DataFrame:
         return jaccard.verified(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), self.nodes, self.docs, self.words, self.similarity)
 
-    def stars(self) -> tuple[DataFrame, DataFrame]:
-        """(links, id and group): each node is compared with one node of each of its values, ``STARS`` times with
+    def crowded(self) -> DataFrame:
+        """key of each value and class of sizes that far more nodes share than usual in that class."""
+        rows = self.plain.select(self.size_class().alias("class"), F.explode(self.values()).alias("value"))
+        usual = rows.groupBy("class").agg((F.count("*") / (self.segments * 2**self.width)).alias("usual"))  # one row for each class: a logarithm of sizes
+        counts = rows.groupBy("value", "class").count().join(F.broadcast(stored(usual, "near-usual")), "class")
+        return stored(counts.where(F.col("count") > 2 + CROWD * F.col("usual")).select((F.col("value") + F.shiftleft("class", 40)).alias("key")), "near-crowded")
+
+    def stars(self, crowded: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """(links, id and group): each node is compared with one node of each of its crowded values, ``STARS`` times with
         others as long as that gives links, and decided with one of another group: of the ``TRIED`` nearest by the 64 bits the first that may be similar. That contracts large groups of near copies."""
         key = lambda v: v + F.shiftleft(self.size_class(), 40)
-        seen = stored(self.plain.select("id", "head", F.explode(F.transform(self.values(), key)).alias("key")), "near-values")
+        seen = self.plain.select("id", "head", F.explode(F.transform(self.values(), key)).alias("key"))
+        seen = stored(seen.join(bounded(crowded), "key", "left_semi"), "near-values")
         groups, found = self.plain.select("id", F.col("id").alias("group")), None
+        if seen.isEmpty():
+            return groups.select(F.col("id").alias("a"), F.col("id").alias("b")).where("false"), groups
         for i in range(STARS):
             of = seen.join(groups, "id")
             pick = of.groupBy("key").agg(F.min(F.struct(F.xxhash64(F.lit(i), "id").alias("order"), "id", "head", "group")).alias("c"), F.count("*").alias("n")).where("n > 1")
@@ -235,52 +247,64 @@ class Similar:
         """Links a, b that join all nodes whose sets have the similarity, but for ``LOSS``.
 
         After ``stars``, each value's ball of radius one is looked up; of two values the one with a zero at the
-        differing bit looks. Only what meets between different groups is kept, so a group's own pairs are never rows. What
+        differing bit looks. Segments are looked up in turns, and a turn's shuffle files go with it. Only what meets between
+        different groups is kept, so a group's own pairs are never rows. What
         meets is compared over 64 bits that are in no segment and travel with it, then over all. At values that far more nodes
         than usual share (``CROWD``; near copies of one text, texts around a common passage), whole fingerprints travel and the lookup
         itself compares them; there, nodes of the value's largest group do not look at that group. What is left is decided on whole sets.
         """
-        star, groups = self.stars()
-        plain = self.plain.join(groups, "id")
-        rows = plain.select("id", "head", "group", self.size_class().alias("class"), F.explode(self.values()).alias("value"))
-        rows = stored(rows, "near-table")
-        put = lambda v, c: (v + F.shiftleft(c, 40)).alias("key")
+        spark, crowded = self.nodes.sparkSession, self.crowded()
+        star, groups = self.stars(crowded)
+        plain = stored(self.plain.join(groups, "id").withColumn("class", self.size_class()), "near-table")
+        place = lambda v, c: v + F.shiftleft(c, 40)
+        beside = F.explode(F.array(*[F.col("key") + F.lit(i << 40) for i in (-1, 0, 1)])).alias("key")  # a class of -1 is asked for by none
+        crowded = stored(crowded.select(beside).distinct(), "near-crowded-around")
+        met, dense = (scratch(spark, f"near-{name}") for name in ("met", "dense"))
+        turn = max(TURN, TURN_VALUES // max(1, plain.count()))
+        for first in range(0, self.segments, turn):
+            with workspace(spark):
+                self.look_up(plain, place, crowded, first, first + turn, met, dense)
+        met, dense = (spark.read.schema("a long, b long").parquet(path) for path in (met, dense))
+        pairs = self.ends(met.distinct()).select("a", "b")
+        return star.unionByName(self.checked(pairs.unionByName(dense)))
+
+    def look_up(self, plain: DataFrame, place: Callable, crowded: DataFrame, first: int, last: int, to_met: str, to_dense: str) -> None:
+        """Adds pairs that meet in these segments: to ``to_met`` by 64 bits, at crowded values to ``to_dense`` by whole fingerprints."""
+        number = F.shiftright("key", 52)
+        crowded = bounded(crowded.where((number >= first) & (number < last)))
+        rows = plain.select("id", "head", "group", "class", F.explode(self.values(first, last)).alias("value"))
         around = F.explode(F.array(*[F.col("class") + i for i in (-1, 0, 1)])).alias("of")
-        entries = lambda df, *columns: df.select(*columns, "value", around).where("of >= 0").select(*columns, put(F.col("value"), F.col("of")))
-        table = entries(rows, "id", "head", "group")
+        table = rows.select("id", "head", "group", "value", around).where("of >= 0").select("id", "head", "group", place(F.col("value"), F.col("of")).alias("key"))
         masks = F.array(F.lit(0).cast("long"), *[F.lit(1 << i).cast("long") for i in range(self.width)])
         ball = F.explode(F.filter(masks, lambda m: F.col("value").bitwiseAND(m) == 0)).alias("mask")
-        asked = rows.select("id", "head", "group", "class", "value", ball).select("id", "head", "group", put(F.col("value").bitwiseXOR(F.col("mask")), F.col("class")))
-        counts = stored(rows.groupBy("value", "class").count(), "near-counts")
-        usual = rows.count() / (self.segments * 2**self.width * max(1, counts.select("class").distinct().count()))
-        many = entries(counts.where(F.col("count") > 2 + CROWD * usual)).distinct()
-        crowded = bounded(stored(many, "near-crowded"))
-        most = table.join(crowded, "key", "left_semi").groupBy("key", "group").count().groupBy("key").agg(F.max_by("group", F.struct("count", "group")).alias("most"))
-        most = bounded(stored(most, "near-most"))
-
+        asked = rows.select("id", "head", "group", "class", "value", ball).select("id", "head", "group", place(F.col("value").bitwiseXOR(F.col("mask")), F.col("class")).alias("key"))
         name = lambda df, end: df.withColumnsRenamed({"id": end, "head": f"head_{end}", "group": f"group_{end}"})
-        other = self.near & (F.col("group_a") != F.col("group_b"))
+        other, ordered = self.near & (F.col("group_a") != F.col("group_b")), (F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
         met = name(asked.join(crowded, "key", "left_anti"), "a").join(name(table.join(crowded, "key", "left_anti"), "b"), "key").where(other)
-        pairs = self.ends(met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()).select("a", "b")
+        stored(met.select(*ordered).distinct(), "near-met", to_met)
 
+        most = table.join(crowded, "key", "left_semi").groupBy("key", "group").count().groupBy("key").agg(F.max_by("group", F.struct("count", "group")).alias("most"))
+        most = bounded(stored(most, "near-most"))
         whole = lambda df, end: df.join(self.plain.select("id", *[F.col(c).alias(f"{c}_{end}") for c in ("fp", "size", "odd")]), "id")
         looks = F.explode(F.when(F.col("group") == F.col("most"), F.array(F.lit(False))).otherwise(F.array(F.lit(False), F.lit(True)))).alias("big")
         left = name(whole(asked.join(most, "key").select("id", "head", "group", "key", looks), "a"), "a")
         right = name(whole(table.join(most, "key").select("id", "head", "group", "key", (F.col("group") == F.col("most")).alias("big")), "b"), "b")
-        dense = left.join(right, ["key", "big"]).where(other & self.fits).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-        return star.unionByName(self.checked(pairs.unionByName(dense)))
+        stored(left.join(right, ["key", "big"]).where(other & self.fits).select(*ordered).distinct(), "near-dense", to_dense)
 
 
 def _similar(docs: DataFrame, words: int, similarity: float) -> tuple[DataFrame, DataFrame]:
     """(rows as doc_id, text_key, node; node, root, least for every node)."""
+    spark = docs.sparkSession
     segments, width = scheme(docs.count(), similarity)
     longs = -(-segments * width // BITS) + 1
-    rows = stored(signatures(docs, words, longs), "signatures")
-    nodes = rows.groupBy("node").agg(F.min("doc_id").alias("least"), F.min(F.struct("text_key", "size", "odd", "fp")).alias("c"))
-    nodes = stored(nodes.select("node", "least", "c.*"), "near-nodes")
-    roots = stored(components(Similar(nodes, docs, words, similarity, segments, width, longs).links()), "near-roots")
-    ids = nodes.select("node", "least").join(roots, "node", "left").select("node", "least", F.coalesce("root", "node").alias("root"))
-    return rows.select("doc_id", "text_key", "node"), stored(ids, "near-ids")
+    kept_rows, kept_ids = scratch(spark, "near-rows"), scratch(spark, "near-ids")
+    with tidy(spark), workspace(spark):
+        rows = stored(signatures(docs, words, longs), "signatures")
+        nodes = rows.groupBy("node").agg(F.min("doc_id").alias("least"), F.min(F.struct("text_key", "size", "odd", "fp")).alias("c"))
+        nodes = stored(nodes.select("node", "least", "c.*"), "near-nodes")
+        roots = stored(components(Similar(nodes, docs, words, similarity, segments, width, longs).links()), "near-roots")
+        ids = nodes.select("node", "least").join(roots, "node", "left").select("node", "least", F.coalesce("root", "node").alias("root"))
+        return stored(rows.select("doc_id", "text_key", "node"), "near-rows", kept_rows), stored(ids, "near-ids", kept_ids)
 
 
 def similar_groups(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFrame:

@@ -204,6 +204,40 @@ def test_crowded_values_lose_no_link(spark, monkeypatch):
         assert {r["doc_id"]: r["component_id"] for r in simhash.similar_groups(table).collect()} == expected
 
 
+def shuffle_bytes(spark):
+    files = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()
+    files = [files.apply(i) for i in range(files.size())]
+    return sum(f.length() for f in files if f.getName().startswith("shuffle"))
+
+
+def test_near_dedup_keeps_neither_shuffle_files_nor_tables(spark, monkeypatch):
+    """Segments looked up in turns give the groups of brute force; what a step wrote is gone when it ends."""
+    rng, made, scratch = random.Random(8), [], simhash.scratch
+    texts = {i: " ".join(f"g{i % 40}w{j + (i // 40) * rng.choice([0, 1, 5, 9])}" for j in range(60)) for i in range(120)}
+    expected = closed(set(texts), [(a, b) for a, b in combinations(texts, 2) if similarity(texts[a], texts[b]) >= 0.8])
+    table = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    monkeypatch.setattr(simhash, "scratch", lambda s, name: made.append(scratch(s, name)) or made[-1])
+    monkeypatch.setattr(simhash, "TURN", 6)
+    monkeypatch.setattr(simhash, "TURN_VALUES", 1)
+    before = shuffle_bytes(spark)
+    rows, ids = simhash._similar(table, 5, 0.8)
+    assert shuffle_bytes(spark) <= before
+    least = dict(map(tuple, ids.groupBy("root").agg(F.min("least")).collect()))
+    root = {r["node"]: r["root"] for r in ids.collect()}
+    assert {r["doc_id"]: least[root[r["node"]]] for r in rows.collect()} == expected
+    gone = [path for path in made if "near-met" in path or "near-dense" in path]
+    assert len(gone) == 2 and not any(os.path.exists(path.removeprefix("file:")) for path in gone)
+
+
+def test_crowded_values_are_few_where_sizes_are_alike(spark):
+    """Texts of one size are as many in a value as the class's own number says, however many classes there are."""
+    rng = np.random.default_rng(3)
+    draw = lambda n, size: [(int(i), int(i), size, [0] * 8, [int(x) for x in rng.integers(-(1 << 63), 1 << 63, 5)]) for i in rng.integers(0, 1 << 62, n)]
+    rows = draw(6000, 500) + [r for c in range(40) for r in draw(1, round(1.3**c) + 1)]
+    nodes = spark.createDataFrame(rows, "node long, text_key long, size int, odd array<long>, fp array<long>")
+    assert simhash.Similar(nodes, None, 5, 0.8, 40, 6, 5).crowded().count() < 20
+
+
 def test_near_copies_among_null_ids(spark):
     words = " ".join(f"w{j}" for j in range(60))
     rows = [(None, words), (None, words + " more"), (None, None), (4, ""), (4, ""), (9, words.upper()), (9, "another"), (None, "alone here"), (None, "alone here")]

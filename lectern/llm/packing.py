@@ -10,7 +10,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from .token_counts import vocabulary
-from .tokens import Encoder
+from .tokens import encoder
 
 #: Window lengths; tokens of a step group; tokens a task packs at once.
 TIERS, STEP_TOKENS, CHUNK_TOKENS = (256, 512, 1024, 2048), 16_384, 2_000_000
@@ -128,9 +128,8 @@ def pack(docs: DataFrame, path: str, tiers: tuple[int, ...] = TIERS, step_tokens
     end = end_id.to_bytes(4, "little")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, packer = None, Packer((TaskContext.get().partitionId() if TaskContext.get() else 0) << 36, tiers, step_tokens)
+        encode, packer = encoder(path).encode, Packer((TaskContext.get().partitionId() if TaskContext.get() else 0) << 36, tiers, step_tokens)
         for b in batches:
-            encode = encode or Encoder(path).encode
             for doc_id, text in zip(b.column("doc_id").to_pylist(), b.column("text"), strict=True):
                 packer.add(doc_id, encode(text.as_py() or "") + end)
                 if packer.held >= CHUNK_TOKENS:

@@ -8,7 +8,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from .common import BROADCAST_ROWS, bounded, scratch, stored, text_or_empty
-from .tokens import Encoder, tokenizer_version
+from .tokens import encoder, tokenizer_version
 
 VOCABULARY = "byte_bpe_50k.json"
 LIMIT = 512
@@ -23,10 +23,9 @@ def vocabulary(name: str = VOCABULARY) -> str:
 
 def _counter(path: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = None
+        encode = encoder(path, counts_only=True).encode
         for b in batches:
-            encode = encode or Encoder(path, counts_only=True).encode
-            yield pa.RecordBatch.from_arrays([b.column("digest"), pa.array([encode(t) for t in b.column("text").to_pylist()], pa.int64())], names=["digest", "n_tokens"])
+            yield pa.RecordBatch.from_arrays([b.column("digest"), pa.array([encode(t.as_py()) for t in b.column("text")], pa.int64())], names=["digest", "n_tokens"])
 
     return run
 

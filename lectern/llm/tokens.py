@@ -7,6 +7,7 @@ import importlib.metadata
 import json
 import re
 from array import array
+from functools import lru_cache
 
 #: Chunks kept by a worker's memo; a full memo starts afresh. Longer chunks are not kept.
 MEMO_CHUNKS, MEMO_CHARS = 300_000, 48
@@ -101,3 +102,9 @@ class Encoder:
             self.encode = lambda text: value(text) if UNSAFE.search(text) else value((p := text.split(" "))[0]) + sum(map(get, p[1:]))
         else:
             self.encode = lambda text: value(text) if UNSAFE.search(text) else value((p := text.split(" "))[0]) + b"".join(map(get, p[1:]))
+
+
+@lru_cache(maxsize=1)
+def encoder(path: str, counts_only: bool = False) -> Encoder:
+    """A worker's one encoder, which its tasks share: an encoder's memo refers to itself, so those of ended tasks would stay until Python's collector finds them."""
+    return Encoder(path, counts_only)

@@ -7,10 +7,11 @@ import zlib
 from collections import defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from lectern.llm import exact_dedup, mixing, packing, sharding, token_counts, topk
+from lectern.llm import exact_dedup, mixing, packing, sharding, token_counts, tokens, topk
 from lectern.llm.packing import Packer
 from lectern.llm.token_counts import vocabulary
 from lectern.llm.tokens import Encoder
@@ -148,6 +149,18 @@ def test_encoder_equals_the_library(spark, tokenizer):
         assert count.encode(text) == len(e.ids)
 
 
+def test_tasks_of_a_worker_share_one_encoder(monkeypatch):
+    """Counting and packing in many tasks makes one encoder each, not one for each task."""
+    made, init = [], tokens.Encoder.__init__
+    monkeypatch.setattr(tokens.Encoder, "__init__", lambda self, *a, **b: made.append(a) or init(self, *a, **b))
+    tokens.encoder.cache_clear()
+    batch = pa.RecordBatch.from_pydict({"digest": [b"x"], "text": ["two words"]})
+    counted = [b.column("n_tokens").to_pylist() for _ in range(3) for b in token_counts._counter(vocabulary())(iter([batch, batch]))]
+    assert len(counted) == 6 and len({str(c) for c in counted}) == 1
+    assert len(made) == 1
+    tokens.encoder.cache_clear()
+
+
 def test_every_code_point(tokenizer):
     """Each assigned code point alone, after a letter and before a space gets the library's number of tokens."""
     e = Encoder(vocabulary(), counts_only=True)

@@ -126,6 +126,30 @@ def test_lsh_recall(spark):
     assert len(got & near) >= 0.9 * len(near) > 90
 
 
+@pytest.mark.parametrize(("block", "tile"), [(1000, 1000), (40, 7)])
+def test_classes_of_near_nodes_equal_brute_force(spark, monkeypatch, block, tile):
+    """A chain, clusters, lone nodes and awkward vectors: no link is lost, in one block or in several."""
+    rng, inf = random.Random(6), float("inf")
+    monkeypatch.setattr(lk, "TILE", tile)
+    ids = rng.sample(range(1000), 110)
+    rows = [(ids[i], [math.cos(i * 0.02), math.sin(i * 0.02), 0.0]) for i in range(40)]  # each is near its neighbours only
+    rows += [(ids[40 + i], [-1.0 + (i % 6) * 0.3, rng.gauss(0, 0.01), 3.0 * (i % 6) - 8]) for i in range(60)]
+    rows += [(ids[100], [0.0, -1.0, 0.0]), (ids[101], [0.0, 0.0, 0.0]), (ids[102], [NAN, 1.0, 0.0]), (ids[103], [inf, 1.0, 0.0]), (ids[104], [None, 1.0, 0.0]), (ids[105], None), (None, [1.0, 0.0, 0.0])]
+    unit = {i: [x / math.hypot(*v) for x in v] for i, v in rows if i is not None and v and None not in v and 0 < math.hypot(*v) < inf}
+    near = {i: {j for j in unit if j != i and math.dist(unit[i], unit[j]) < 0.025} for i in unit}
+    expected = {i: (i, 0) for i, v in rows if i is not None and v}
+    for i in sorted(unit, reverse=True):
+        reach, todo = {i}, [i]
+        while todo:
+            todo += (new := near[todo.pop()] - reach)
+            reach |= new
+        expected[i] = (min(reach), len(near[i]))
+    got = lk.near_classes(spark.createDataFrame(rows, "id long, embedding array<double>"), 0.025, block)
+    assert {r["id"]: (r["class_id"], r["n_links"]) for r in got.collect()} == expected and got.count() == len(expected)
+    assert len({c for c, n in expected.values() if n}) > 3
+    assert lk.near_classes(got.select("id", F.array(F.lit(1.0)).alias("embedding")).where("false"), 0.5).count() == 0
+
+
 def test_duplicate_ids_give_the_first(spark):
     nodes = cloud(spark, [(0, 0, 0, "a"), (1, 1, 0, "a")]).withColumn("text", F.col("ord").cast("string"))
     assert pk.details(nodes, "a").first()["text"] == "0"

@@ -74,7 +74,8 @@ def near_pairs(distinct: DataFrame, max_bits: int = MAX_BITS, segments: int = SE
     Each segment has a table of its values. A fingerprint looks up every value in the Hamming ball around its own
     one; of two values it is the one with a zero at their lowest differing bit that looks, so half the ball is
     enumerated. What meets is verified over all 64 bits. A fingerprint has at most 43 744 others within three bits,
-    so the pairs are linear in distinct fingerprints, however large a group of copies is.
+    so the pairs are linear in distinct fingerprints, however large a group of copies is. The planner takes an exploded ball
+    for as large as what it was made of, so the join says that it is none to broadcast.
     """
     tables = probes = None
     for i, (low, width, radius) in enumerate(_segments(segments, max_bits)):
@@ -86,7 +87,7 @@ def near_pairs(distinct: DataFrame, max_bits: int = MAX_BITS, segments: int = SE
         probe = probe.select("segment", "a", F.col("own").bitwiseXOR(F.col("mask")).alias("key"), (F.col("mask") == 0).alias("same"))
         tables, probes = (table, probe) if tables is None else (tables.unionByName(table), probes.unionByName(probe))
     close = F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= max_bits
-    return probes.join(tables, ["segment", "key"]).where(close & (~F.col("same") | (F.col("a") < F.col("b")))).select("a", "b")
+    return probes.join(tables.hint("merge"), ["segment", "key"]).where(close & (~F.col("same") | (F.col("a") < F.col("b")))).select("a", "b")
 
 
 def near_groups(docs: DataFrame, words: int = WORDS, max_bits: int = MAX_BITS, segments: int = SEGMENTS) -> DataFrame:
@@ -99,11 +100,11 @@ def near_groups(docs: DataFrame, words: int = WORDS, max_bits: int = MAX_BITS, s
     rows = stored(fingerprints(docs, words), "fingerprints")
     nodes = cut(rows.groupBy("fp").agg(F.min("doc_id").alias("least")))
     roots = cut(components(near_pairs(nodes.select("fp"), max_bits, segments)).select(F.col("node").alias("fp"), "root"))
-    linked = nodes.join(roots, "fp")
+    linked = nodes.join(roots.hint("merge"), "fp")
     least = linked.groupBy("root").agg(F.min("least").alias("component_id"))
-    linked = linked.join(least, "root").select("fp", F.col("component_id").alias("_linked"))
-    ids = stored(nodes.join(linked, "fp", "left").select("fp", F.coalesce("_linked", "least").alias("component_id")), "fingerprint-ids")
-    return rows.join(ids, "fp").select("doc_id", "fp", "component_id")
+    linked = linked.join(least.hint("merge"), "root").select("fp", F.col("component_id").alias("_linked"))
+    ids = stored(nodes.join(linked.hint("merge"), "fp", "left").select("fp", F.coalesce("_linked", "least").alias("component_id")), "fingerprint-ids")
+    return rows.join(ids.hint("merge"), "fp").select("doc_id", "fp", "component_id")
 
 
 #: Shares of links that the candidate search may miss, at the stated similarity itself (above it misses fall fast).

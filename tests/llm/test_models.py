@@ -65,6 +65,12 @@ def closed(nodes, links):
     return {n: find(n) for n in nodes}
 
 
+def test_no_lookups_are_broadcast(spark):
+    fps = spark.range(1000).withColumnRenamed("id", "fp")  # by the planner's estimate small enough, exploded balls too
+    plan = simhash.near_pairs(fps)._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastExchange" not in plan and "SortMergeJoin" in plan
+
+
 def test_components(spark):
     rng = random.Random(3)
     links = [(i, i + 1) for i in range(0, 40)] + [(100, i) for i in range(101, 160)] + [(rng.randint(200, 400), rng.randint(200, 400)) for _ in range(120)] + [(7, 7), (500, 500)]

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import ctypes
 import string
 import tempfile
 import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 #: A side is broadcast only if it was counted and has at most this many rows; beyond it a shuffle join runs.
@@ -104,6 +106,13 @@ def tidy(spark: SparkSession) -> Iterator[None]:
             spark.conf.set(name, before)
 
 
+def give_back() -> None:
+    """Returns what this process has freed to the system: Arrow's pool, and where the C library can (glibc) its heap, which else keeps it."""
+    pa.default_memory_pool().release_unused()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
+        trim(0)
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Computes ``df`` once and cuts its lineage by a checkpoint in the shared folder, which outlives executors."""
     shared_dir(df.sparkSession)

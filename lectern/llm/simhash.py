@@ -281,7 +281,7 @@ class Similar:
         asked = rows.select("id", "head", "group", "class", "value", ball).select("id", "head", "group", place(F.col("value").bitwiseXOR(F.col("mask")), F.col("class")).alias("key"))
         name = lambda df, end: df.withColumnsRenamed({"id": end, "head": f"head_{end}", "group": f"group_{end}"})
         other, ordered = self.near & (F.col("group_a") != F.col("group_b")), (F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-        met = name(asked.join(crowded, "key", "left_anti"), "a").join(name(table.join(crowded, "key", "left_anti"), "b"), "key").where(other)
+        met = name(asked.join(crowded, "key", "left_anti"), "a").join(name(table.join(crowded, "key", "left_anti"), "b").hint("merge"), "key").where(other)
         stored(met.select(*ordered).distinct(), "near-met", to_met)
 
         most = table.join(crowded, "key", "left_semi").groupBy("key", "group").count().groupBy("key").agg(F.max_by("group", F.struct("count", "group")).alias("most"))
@@ -290,7 +290,7 @@ class Similar:
         looks = F.explode(F.when(F.col("group") == F.col("most"), F.array(F.lit(False))).otherwise(F.array(F.lit(False), F.lit(True)))).alias("big")
         left = name(whole(asked.join(most, "key").select("id", "head", "group", "key", looks), "a"), "a")
         right = name(whole(table.join(most, "key").select("id", "head", "group", "key", (F.col("group") == F.col("most")).alias("big")), "b"), "b")
-        stored(left.join(right, ["key", "big"]).where(other & self.fits).select(*ordered).distinct(), "near-dense", to_dense)
+        stored(left.join(right.hint("merge"), ["key", "big"]).where(other & self.fits).select(*ordered).distinct(), "near-dense", to_dense)
 
 
 def _similar(docs: DataFrame, words: int, similarity: float) -> tuple[DataFrame, DataFrame]:

@@ -11,7 +11,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from .common import bounded, free, stored
+from .common import bounded, free, give_back, stored
 
 #: Labelled rows that a fit may use: beyond it a sample by a hash of doc_id.
 TRAIN_ROWS = 12_000
@@ -220,7 +220,7 @@ def train(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS) -> M
     table = rows.mapInArrow(run, "doc_id long, toxic int, found array<int>").orderBy("doc_id", "toxic", F.size("found")).toArrow()
     machine = fit([f.values.to_numpy() for f in table["found"]], table["toxic"].to_numpy().astype(float))
     del table
-    pa.default_memory_pool().release_unused()
+    give_back()
     return machine
 
 

@@ -80,6 +80,29 @@ def test_components(spark):
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
+@pytest.mark.parametrize("own", [7, 50_000])
+def test_components_of_contracted_links(spark, monkeypatch, own):
+    monkeypatch.setattr("lectern.llm.components.OWN", own)
+    links = [(i, i + 1) for i in range(0, 60) if i % 13] + [(100, -5), (-5, 3), (7, 7), (200, 201), (201, 200)]
+    groups = {x: {x} for x in {n for link in links for n in link}}
+    for a, b in links:
+        if groups[a] is not groups[b]:
+            groups[a] |= groups[b]
+            groups |= dict.fromkeys(groups[a], groups[a])
+    want = sorted((x, min(g)) for x, g in groups.items() if len(g) > 1)
+    assert sorted(map(tuple, components(spark.createDataFrame(links, "a long, b long").repartition(5)).collect())) == want
+
+
+def test_few_links_take_few_jobs(spark):
+    links = spark.range(300).selectExpr("id AS a", "id + 1 AS b")  # each exchange is a thread of the driver for a minute
+    spark.sparkContext.setJobGroup("few-links", "")
+    try:
+        assert components(links).where("root = 0").count() == 301
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert len(spark.sparkContext.statusTracker().getJobIdsForGroup("few-links")) < 15
+
+
 def test_groups_equal_brute_force(spark):
     rows = [(r["doc_id"], r["text"]) for r in spark.read.parquet(f"{DATA}/documents.parquet").collect()]
     rows += [(-1, None), (-2, " "), (None, ""), (10_000, rows[0][1]), (10_001, rows[5][1] + " one more"), (10_001, rows[5][1] + " one more")]

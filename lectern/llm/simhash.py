@@ -101,8 +101,8 @@ def near_groups(docs: DataFrame, words: int = WORDS, max_bits: int = MAX_BITS, s
     nodes = cut(rows.groupBy("fp").agg(F.min("doc_id").alias("least")))
     roots = cut(components(near_pairs(nodes.select("fp"), max_bits, segments)).select(F.col("node").alias("fp"), "root"))
     linked = nodes.join(roots.hint("merge"), "fp")
-    least = linked.groupBy("root").agg(F.min("least").alias("component_id"))
-    linked = linked.join(least.hint("merge"), "root").select("fp", F.col("component_id").alias("_linked"))
+    least = bounded(stored(linked.groupBy("root").agg(F.min("least").alias("component_id")), "fingerprint-least"))
+    linked = linked.join(least, "root").select("fp", F.col("component_id").alias("_linked"))
     ids = stored(nodes.join(linked.hint("merge"), "fp", "left").select("fp", F.coalesce("_linked", "least").alias("component_id")), "fingerprint-ids")
     return rows.join(ids.hint("merge"), "fp").select("doc_id", "fp", "component_id")
 

@@ -117,6 +117,12 @@ STARS = 3
 TRIED = 2
 #: A segment's value is crowded beyond two texts of a size class and so many times the usual number of that class.
 CROWD = 3
+#: From so many of a group's texts on, those that look up a crowded value do not meet their own group there. For fewer, another row costs more.
+BIG = 8
+#: What a text brings along where whole fingerprints are compared.
+WHOLE = ("id", "head", "group", "fp", "size", "odd")
+#: What it brings along where it is looked up by 128 bits.
+SLIM = ("id", "head", "tail", "group")
 #: Segments that are looked up at once, or as many as give so many values. A segment's lookups are some 8 to 19 slim rows a text, so a turn's shuffle is a small share of the input at any size.
 TURN, TURN_VALUES = 4, 1_000_000
 
@@ -182,11 +188,12 @@ class Similar:
         share = flip_share(similarity)
         limit = lambda bits: round(bits * share + 4 * (bits * share * (1 - share)) ** 0.5)
         a, b = F.col("size_a"), F.col("size_b")
-        # over the last 64 bits, which are in no segment and travel with every row; over all bits, and what sizes and parities prove
-        self.near = F.bit_count(F.col("head_a").bitwiseXOR(F.col("head_b"))) <= limit(BITS)
+        # over the last 64 bits, which are in no segment; over the last 128, which travel with every row that is looked up; over all bits, and what sizes and parities prove
+        differing = lambda c: F.bit_count(F.col(f"{c}_a").bitwiseXOR(F.col(f"{c}_b")))
+        self.near, self.nearer = differing("head") <= limit(BITS), differing("head") + differing("tail") <= limit(2 * BITS)
         proved = (F.least(a, b) >= similarity * F.greatest(a, b)) & (_apart("odd", jaccard.ODD_WORDS) * (1 + similarity) <= (a + b) * (1 - similarity) + 1e-6)
         self.fits = (_apart("fp", longs) <= limit(BITS * longs)) & proved
-        self.plain = nodes.where("size > 0").select(F.col("node").alias("id"), F.col("fp")[longs - 1].alias("head"), "fp", "size", "odd")
+        self.plain = nodes.where("size > 0").select(F.col("node").alias("id"), F.col("fp")[longs - 1].alias("head"), F.col("fp")[longs - 2].alias("tail"), "fp", "size", "odd")
 
     def values(self, first: int = 0, last: int | None = None) -> Column:
         """Array of a long per segment: its number, a place for the class of sizes, its bits."""
@@ -203,6 +210,21 @@ class Similar:
         """Sizes within the similarity of each other are in one class or in neighbours; a hair wider, against rounding."""
         return F.floor(F.log(F.col("size")) / float(-np.log(self.similarity) * 1.0001)).cast("long") if self.similarity < 1 else F.lit(0).cast("long")
 
+    def masks(self) -> Column:
+        """What a value differs by from those in its ball of radius one."""
+        return F.array(F.lit(0).cast("long"), *[F.lit(1 << i).cast("long") for i in range(self.width)])
+
+    def around(self, most: DataFrame) -> DataFrame:
+        """value and class, and of the crowded places in ``most`` (key, value, of, most) those that a text with them asks at and stands under, as arrays.
+
+        The places are turned about, the texts are not: those asking at a place have its class, and a one where they differ from
+        it has become a zero. So a text is joined once for each segment, however many crowded values its ball has.
+        """
+        at, near = F.struct("key", "most"), F.explode(F.filter(self.masks(), lambda m: F.col("value").bitwiseAND(m) == m)).alias("mask")
+        asks = most.select("value", F.col("of").alias("class"), at.alias("ask"), near).select(F.col("value").bitwiseXOR(F.col("mask")).alias("value"), "class", "ask")
+        stands = most.select("value", F.explode(F.array(*[F.col("of") + i for i in (-1, 0, 1)])).alias("class"), at.alias("stand"))
+        return asks.unionByName(stands, allowMissingColumns=True).groupBy("value", "class").agg(F.collect_list("ask").alias("asks"), F.collect_list("stand").alias("stands"))
+
     def ends(self, pairs: DataFrame) -> DataFrame:
         """Pairs a, b that may have the similarity, as their whole fingerprints, sizes and parities say."""
         for end in ("a", "b"):
@@ -250,9 +272,9 @@ class Similar:
         After ``stars``, each value's ball of radius one is looked up; of two values the one with a zero at the
         differing bit looks. Segments are looked up in turns, and a turn's shuffle files go with it. Only what meets between
         different groups is kept, so a group's own pairs are never rows. What
-        meets is compared over 64 bits that are in no segment and travel with it, then over all. At values that far more nodes
+        meets is compared over 128 bits that travel with it, 64 of them in no segment, then over all. At values that far more nodes
         than usual share (``CROWD``; near copies of one text, texts around a common passage), whole fingerprints travel and the lookup
-        itself compares them; there, nodes of the value's largest group do not look at that group. What is left is decided on whole sets.
+        itself compares them; there, nodes of the value's largest group do not look at that group if it is ``BIG``. What is left is decided on whole sets.
         """
         spark, crowded = self.nodes.sparkSession, self.crowded()
         star, groups = self.stars(crowded)
@@ -270,27 +292,27 @@ class Similar:
         return star.unionByName(self.checked(pairs.unionByName(dense)))
 
     def look_up(self, plain: DataFrame, place: Callable, crowded: DataFrame, first: int, last: int, to_met: str, to_dense: str) -> None:
-        """Adds pairs that meet in these segments: to ``to_met`` by 64 bits, at crowded values to ``to_dense`` by whole fingerprints."""
+        """Adds pairs that meet in these segments: to ``to_met`` by 128 bits, at crowded values to ``to_dense`` by whole fingerprints."""
         number = F.shiftright("key", 52)
         crowded = bounded(crowded.where((number >= first) & (number < last)))
-        rows = plain.select("id", "head", "group", "class", F.explode(self.values(first, last)).alias("value"))
+        rows = plain.select(*SLIM, "class", F.explode(self.values(first, last)).alias("value"))
         around = F.explode(F.array(*[F.col("class") + i for i in (-1, 0, 1)])).alias("of")
-        table = rows.select("id", "head", "group", "value", around).where("of >= 0").select("id", "head", "group", place(F.col("value"), F.col("of")).alias("key"))
-        masks = F.array(F.lit(0).cast("long"), *[F.lit(1 << i).cast("long") for i in range(self.width)])
-        ball = F.explode(F.filter(masks, lambda m: F.col("value").bitwiseAND(m) == 0)).alias("mask")
-        asked = rows.select("id", "head", "group", "class", "value", ball).select("id", "head", "group", place(F.col("value").bitwiseXOR(F.col("mask")), F.col("class")).alias("key"))
-        name = lambda df, end: df.withColumnsRenamed({"id": end, "head": f"head_{end}", "group": f"group_{end}"})
-        other, ordered = self.near & (F.col("group_a") != F.col("group_b")), (F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-        met = name(asked.join(crowded, "key", "left_anti"), "a").join(name(table.join(crowded, "key", "left_anti"), "b").hint("merge"), "key").where(other)
+        table = rows.select(*SLIM, "value", around).where("of >= 0").withColumn("key", place(F.col("value"), F.col("of")))
+        ball = F.explode(F.filter(self.masks(), lambda m: F.col("value").bitwiseAND(m) == 0)).alias("mask")
+        asked = rows.select(*SLIM, "class", "value", ball).select(*SLIM, place(F.col("value").bitwiseXOR(F.col("mask")), F.col("class")).alias("key"))
+        name = lambda df, end: df.withColumnsRenamed({"id": end} | {c: f"{c}_{end}" for c in {*SLIM[1:], *WHOLE[1:]}})
+        other, ordered = F.col("group_a") != F.col("group_b"), (F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+        met = name(asked.join(crowded, "key", "left_anti"), "a").join(name(table.select(*SLIM, "key").join(crowded, "key", "left_anti"), "b").hint("merge"), "key").where(self.nearer & other)
         stored(met.select(*ordered).distinct(), "near-met", to_met)
 
-        most = table.join(crowded, "key", "left_semi").groupBy("key", "group").count().groupBy("key").agg(F.max_by("group", F.struct("count", "group")).alias("most"))
-        most = bounded(stored(most, "near-most"))
-        whole = lambda df, end: df.join(self.plain.select("id", *[F.col(c).alias(f"{c}_{end}") for c in ("fp", "size", "odd")]), "id")
-        looks = F.explode(F.when(F.col("group") == F.col("most"), F.array(F.lit(False))).otherwise(F.array(F.lit(False), F.lit(True)))).alias("big")
-        left = name(whole(asked.join(most, "key").select("id", "head", "group", "key", looks), "a"), "a")
-        right = name(whole(table.join(most, "key").select("id", "head", "group", "key", (F.col("group") == F.col("most")).alias("big")), "b"), "b")
-        stored(left.join(right.hint("merge"), ["key", "big"]).where(other & self.fits).select(*ordered).distinct(), "near-dense", to_dense)
+        most = table.join(crowded, "key", "left_semi").groupBy("key", "value", "of", "group").count()
+        most = most.groupBy("key", "value", "of").agg(F.when(F.max("count") >= BIG, F.max_by("group", F.struct("count", "group"))).alias("most"))
+        texts = rows.join(bounded(stored(self.around(most), "near-around")), ["value", "class"]).drop("value", "class", "tail")
+        texts = stored(texts.join(self.plain.select("id", "fp", "size", "odd"), "id"), "near-whole")
+        looks = F.explode(F.when(F.col("group") != F.col("most"), F.array(F.lit(False), F.lit(True))).otherwise(F.array(F.lit(False)))).alias("big")
+        left = name(texts.select(*WHOLE, F.inline("asks")).select(*WHOLE, "key", looks), "a")
+        right = name(texts.select(*WHOLE, F.inline("stands")).select(*WHOLE, "key", F.coalesce(F.col("group") == F.col("most"), F.lit(False)).alias("big")), "b")
+        stored(left.join(right.hint("merge"), ["key", "big"]).where(self.near & other & self.fits).select(*ordered).distinct(), "near-dense", to_dense)
 
 
 def _similar(docs: DataFrame, words: int, similarity: float) -> tuple[DataFrame, DataFrame]:

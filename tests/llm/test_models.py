@@ -233,6 +233,39 @@ def test_crowded_values_lose_no_link(spark, monkeypatch):
         assert {r["doc_id"]: r["component_id"] for r in simhash.similar_groups(table).collect()} == expected
 
 
+def join_rows(spark, run):
+    """What ``run`` gives, and the rows that its joins made, by the join's keys, kind and condition."""
+    store, bus, made = spark._jsparkSession.sharedState().statusStore(), spark.sparkContext._jsc.sc().listenerBus(), defaultdict(int)
+    items = lambda seq: [seq.apply(i) for i in range(seq.size())]
+    every = lambda: (bus.waitUntilEmpty(), store.executionsList())[1]
+    before = {x.executionId() for x in items(every())}
+    given = run()
+    for e in (x.executionId() for x in items(every())):
+        if e not in before:
+            values, nodes = store.executionMetrics(e), store.planGraph(e).allNodes()
+            for node in (x for x in items(nodes) if "Join" in x.name()):
+                for m in items(node.metrics()):
+                    if m.name() == "number of output rows" and (v := values.get(m.accumulatorId())).isDefined():
+                        made[re.sub(r"#\d+L?|, Build\w+|, false$|^\w+Join(\(.*?\))? ", "", node.desc())] += int(v.get().replace(",", ""))
+    return given, made
+
+
+@pytest.mark.parametrize("big", [1, 1_000_000])
+def test_a_text_is_joined_once_for_each_segment_with_crowded_values(spark, monkeypatch, big):
+    """Not once for each of the crowded values in its ball; groups are those of brute force, whatever group is kept apart."""
+    rng = random.Random(11)
+    passage = [f"p{j}" for j in range(60)]
+    texts = {i: " ".join(passage[rng.choice([0, 1, 2]) :] + [f"x{i if i % 3 else 0}y{j}" for j in range(rng.choice([1, 8, 20]))]) for i in range(60)}
+    expected = closed(set(texts), [(a, b) for a, b in combinations(texts, 2) if similarity(texts[a], texts[b]) >= 0.8])
+    table = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    monkeypatch.setattr(simhash, "CROWD", -1_000_000)
+    monkeypatch.setattr(simhash, "BIG", big, raising=False)
+    found, made = join_rows(spark, lambda: {r["doc_id"]: r["component_id"] for r in simhash.similar_groups(table).collect()})
+    assert found == expected
+    placed = {k: n for k, n in made.items() if k.endswith("Inner") and k.startswith(("[key]", "[value"))}
+    assert placed and sum(placed.values()) <= len(texts) * simhash.scheme(len(texts), 0.8)[0], made
+
+
 def shuffle_bytes(spark):
     files = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()
     files = [files.apply(i) for i in range(files.size())]
